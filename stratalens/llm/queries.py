@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, packing, quality, simhash, toxicity
+from . import bpe, exact_dedup, packing, pii, quality, shared, simhash, toxicity, warc
 
 #: Where the public tokenizers' files are, unless their package is installed.
 TOKENIZERS = "/opt/tokenizers"
@@ -29,6 +29,18 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    path = shared.work_path(spark, "archives")
+    warc.write(pages, path)
+    read = warc.read(spark, path, pages.schema["page_id"].dataType.simpleString(), payloads=False)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -54,6 +66,8 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_warc": op2_warc,
+    "op3_pii": op3_pii,
     "op4_simhash": op4_simhash,
     "op5_packing": op5_packing,
     "op7_toxicity": op7_toxicity,
@@ -62,6 +76,13 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_warc": """
+        WITH t AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        g AS (SELECT html, min(page_id) AS head FROM t WHERE strlen(html) >= 100 GROUP BY html)
+        SELECT page_id, strlen(t.html) AS payload_bytes, sha256(t.html) AS payload_digest,
+               CASE WHEN head <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN head <> page_id THEN head END AS refers_to, CAST(NULL AS VARCHAR) AS error
+        FROM t LEFT JOIN g ON t.html = g.html""",
     "op9_exact_dedup": r"""
         WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents),
         g AS (SELECT norm, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY norm)
