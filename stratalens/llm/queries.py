@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, packing, pii, quality, shared, simhash, toxicity, warc
+from . import ann, bpe, exact_dedup, packing, pii, quality, sharding, shared, simhash, toxicity, warc
 
 #: Where the public tokenizers' files are, unless their package is installed.
 TOKENIZERS = "/opt/tokenizers"
@@ -50,6 +50,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
@@ -64,15 +68,24 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, index = ann.build(table(spark, sf_dir, "embeddings"))
+    if index is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return ann.search(index, rows.where("vec_id % 20 = 0"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_warc": op2_warc,
     "op3_pii": op3_pii,
     "op4_simhash": op4_simhash,
     "op5_packing": op5_packing,
+    "op6_sharding": op6_sharding,
     "op7_toxicity": op7_toxicity,
     "op8_bpe": op8_bpe,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_ann": op10_ann,
 }
 
 ORACLES = {
