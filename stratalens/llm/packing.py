@@ -31,7 +31,7 @@ from . import shared
 CAPACITY = 2048
 END_ID = 0
 #: Words whose ids a worker remembers, and the longest of them in bytes.
-CACHE_WORDS, CACHE_BYTES = 400_000, 64
+CACHE_WORDS, CACHE_BYTES = 600_000, 64
 #: Bytes of the texts whose new words are looked up together.
 BATCH_BYTES = 2 << 20
 #: Words that the library gets in one string.
@@ -40,7 +40,9 @@ LOOK_UP_WORDS = 500
 # The pre-tokeniser pattern under which a word of printable ASCII and Latin-1 letters can be split here.
 SPLIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _L = "a-zß-öø-ÿ"
-LATIN_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[0-9]|[^{_L}0-9]+"
+LATIN_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[0-9]|\n|[^{_L}0-9\n]+"
+#: Stands between words; no id has it.
+LINE = b"\xff" * 4
 NOT_LATIN = re.compile("[^\x21-\x7eÀ-ÖØ-öø-ÿ]")
 
 
@@ -66,16 +68,27 @@ class Tokens:
     def _ids(self, words: list[bytes]) -> list[bytes]:
         """Ids of new words: by their parts, which many words share, where the split is known."""
         texts = [w.decode("utf-8", "replace") for w in words]
-        plain = [self.split is not None and not NOT_LATIN.search(t) and not any(x in t for x in self.added) for t in texts]
-        parts = [self.split(t.lower()) if p else [t] for t, p in zip(texts, plain, strict=True)]
-        wanted = {x for own, p in zip(parts, plain, strict=True) if p for x in own}
+        if self.split is None:
+            return self._look_up(texts)
+        strange = lambda t: NOT_LATIN.search(t) or any(x in t for x in self.added)
+        odd = [i for i, t in enumerate(texts) if strange(t)] if strange("".join(texts)) else []
+        own = dict(zip(odd, self._look_up([texts[i] for i in odd]), strict=True))
+        for i in odd:
+            texts[i] = ""
+        parts = self.split("\n".join(texts).lower())  # a line end is a part of its own
+        wanted = set(parts)
+        wanted.discard("\n")
         new = [x for x in wanted if x not in self.parts]
         if len(self.parts) + len(new) > CACHE_WORDS:
             self.parts, new = {}, list(wanted)
         self.parts.update(zip(new, self._look_up(new), strict=True))
-        rest = iter(self._look_up([t for t, p in zip(texts, plain, strict=True) if not p]))
-        of = self.parts.__getitem__
-        return [b"".join(map(of, own)) if p else next(rest) for own, p in zip(parts, plain, strict=True)]
+        self.parts["\n"] = LINE
+        joined = b"".join(map(self.parts.__getitem__, parts))
+        del self.parts["\n"]
+        found = joined.split(LINE) if words else []
+        for i, raw in own.items():
+            found[i] = raw
+        return found
 
     def _look_up(self, texts: list[str]) -> list[bytes]:
         if not self.added or self.added[0] in "\0".join(texts):
@@ -89,11 +102,11 @@ class Tokens:
             out += [raw[4 * a + 4 : 4 * b] for a, b in zip(cuts, cuts[1:], strict=False)]
         return out
 
-    def encode(self, texts: Iterator[str | None]) -> Iterator[bytes]:
+    def encode(self, texts: Iterator[str | bytes | None]) -> Iterator[bytes]:
         """For each text its ids, as little-endian unsigned 32-bit integers."""
         held, size = [], 0
         for text in texts:
-            raw = (text or "").encode("utf-8", "replace")
+            raw = text if isinstance(text, bytes) else (text or "").encode("utf-8", "replace")
             held.append(raw.split())
             size += len(raw)
             if size >= BATCH_BYTES:
@@ -200,7 +213,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
                 ["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    rows = docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("text"))
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
 
 
