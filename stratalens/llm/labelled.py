@@ -35,7 +35,7 @@ def sample(docs: DataFrame, chosen: dict[str, tuple[DataFrame, int]]) -> dict[st
     """
     picks = None
     for name, (ids, most) in chosen.items():
-        pick = ids.select("doc_id", F.xxhash64("doc_id").alias("order")).orderBy("order", "doc_id").limit(most).select("doc_id", "order", F.lit(name).alias("part"))
+        pick = shared.lowest(ids.select("doc_id", F.xxhash64("doc_id").alias("order")), "order", most, "doc_id").select("doc_id", "order", F.lit(name).alias("part"))
         picks = pick if picks is None else picks.unionByName(pick)
     picks = F.broadcast(shared.stored(picks, "picks"))  # bounded by the numbers above
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(F.octet_length("text") <= MAX_TEXT_BYTES)

@@ -191,7 +191,9 @@ def records(data: bytes) -> Iterator[dict | Invalid]:
 def _dictionary(pages: DataFrame) -> bytes:
     """Trained from a bounded sample, by ascending hash of the page ids."""
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    rows = pages.select(F.xxhash64("page_id").alias("order"), html.alias("html")).where(F.octet_length("html").between(1, SAMPLE_BYTES)).orderBy("order", "html").limit(SAMPLE_PAGES).collect()
+    rows = pages.select(F.xxhash64("page_id", "url").alias("order"), html.alias("html")).where(F.octet_length("html").between(1, SAMPLE_BYTES))
+    picks = shared.lowest(rows.select("order"), "order", SAMPLE_PAGES).distinct()
+    rows = rows.join(F.broadcast(picks), "order").groupBy("order").agg(F.min("html").alias("html")).orderBy("order").collect()  # SAMPLE_PAGES at most
     return train([r["html"].encode("utf-8", "replace") for r in rows])
 
 
