@@ -49,7 +49,7 @@ def matches(df: DataFrame, content: str, patterns: dict[str, str], keep: list[st
 
 def line_of(text: Column, offset: Column) -> Column:
     """1-based line of a 1-based character offset."""
-    head = F.substring(text, F.lit(1), offset)
+    head = F.substring(text, F.lit(1), offset - 1)
     return F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit(""))) + 1
 
 

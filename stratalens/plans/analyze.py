@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,11 +12,20 @@ from ..operators import dataflow, dependencies, diff, patterns, relationships, s
 from ..sources import tree
 
 
-def analyse(files: DataFrame) -> dict[str, DataFrame]:
-    """All tables of the model from files (see tree.scan)."""
-    nodes = tree.code_nodes(files)
-    imports = relationships.resolve_imports(relationships.imports(files), files)
-    exports = relationships.exports(files)
+def analyse(files: DataFrame, keep: Callable[[str, DataFrame], DataFrame] = lambda name, df: df) -> dict[str, DataFrame]:
+    """All tables of the model from files (see tree.scan).  `keep` may store a table; what follows then reads the stored one."""
+    out: dict[str, DataFrame] = {}
+
+    def put(name: str, df: DataFrame) -> DataFrame:
+        out[name] = keep(name, df)
+        return out[name]
+
+    files = put("files", files)
+    put("directories", tree.directories(files))
+    put("languages", tree.languages(files))
+    nodes = put("code_nodes", tree.code_nodes(files))
+    imports = put("imports", relationships.resolve_imports(relationships.imports(files), files))
+    put("exports", relationships.exports(files))
     named = nodes.where("type IN ('class', 'interface')").select(F.col("name").alias("base"), F.col("id").alias("definition"))
     inherits = relationships.resolve_names(relationships.inheritance(nodes.where("type = 'class'")), named, "base")
     stems = files.withColumn("pattern", _pattern()).where("pattern <> '*'")
@@ -22,17 +33,17 @@ def analyse(files: DataFrame) -> dict[str, DataFrame]:
     edges = edges.unionByName(relationships.import_edges(imports))
     edges = edges.unionByName(inherits.select(F.col("kind").alias("type"), F.col("child_id").alias("source_id"), "target_id", F.lit(0.8).alias("weight"), "confidence"))
     edges = edges.unionByName(relationships.similar_files(stems, ["pattern", "extension"], "path"))
-    edges = edges.withColumn("id", hashes.edge_hash(F.col("type"), F.col("source_id"), F.col("target_id"), F.col("weight")))
+    put("relationships", edges.withColumn("id", hashes.edge_hash(F.col("type"), F.col("source_id"), F.col("target_id"), F.col("weight"))))
+    found = put("patterns", patterns.discover(nodes.where("type <> 'module'"), files))
+    put("concepts", semantics.concepts(nodes))
+    put("semantic_units", semantics.pattern_units(found))
+    rolled = dependencies.roll_up(imports.withColumnRenamed("path", "file"), "module", "file")
+    put("dependencies", rolled.withColumn("type", dependencies.dependency_type(F.col("module"), (), ())))
     calls = call_edges(nodes)
-    found = patterns.discover(nodes.where("type <> 'module'"), files)
-    concepts = semantics.concepts(nodes)
-    rolled = dependencies.roll_up(imports.withColumnRenamed("path", "file"), "module", "file").withColumn("type", dependencies.dependency_type(F.col("module"), (), ()))
-    data = dataflow.with_endpoints(dataflow.nodes(nodes), nodes, calls)
-    flows = dataflow.direct(calls, data)
-    return {
-        "files": files, "directories": tree.directories(files), "languages": tree.languages(files), "code_nodes": nodes, "patterns": found, "relationships": edges, "imports": imports, "exports": exports, "dependencies": rolled,
-        "concepts": concepts, "semantic_units": semantics.pattern_units(found), "df_nodes": data, "df_flows": flows, "df_paths": dataflow.paths(flows, data),
-    }
+    data = put("df_nodes", dataflow.with_endpoints(dataflow.nodes(nodes), nodes, calls))
+    flows = put("df_flows", dataflow.direct(calls, data))
+    put("df_paths", dataflow.paths(flows, data))
+    return out
 
 
 def _pattern():
@@ -49,9 +60,18 @@ def call_edges(nodes: DataFrame) -> DataFrame:
     return found.select(F.lit("calls").alias("type"), "source_id", "target_id", F.col("word").alias("context"))
 
 
+def stored(files: DataFrame, out: str) -> dict[str, DataFrame]:
+    """The analysis, each table written under `out` once it is defined and read from there by what follows."""
+
+    def keep(name: str, df: DataFrame) -> DataFrame:
+        tree.save({name: df}, out)
+        return df.sparkSession.read.parquet(f"{out}/{name}")
+
+    return analyse(files, keep)
+
+
 def full(spark: SparkSession, root: str, out: str, exclude: list[str] | None = None, max_depth: int | None = 5) -> dict[str, DataFrame]:
-    tree.save(analyse(tree.scan(spark, root, exclude, max_depth)), out)
-    return tree.load(spark, out)
+    return stored(tree.scan(spark, root, exclude, max_depth), out)
 
 
 def incremental(spark: SparkSession, root: str, old: str, out: str, exclude: list[str] | None = None, max_depth: int | None = 5) -> tuple[DataFrame, list[str], dict[str, DataFrame]]:
@@ -61,8 +81,7 @@ def incremental(spark: SparkSession, root: str, old: str, out: str, exclude: lis
     if status.where("status <> 'unchanged'").isEmpty():
         return status, [], tree.load(spark, old)
     stages = diff.stages_to_run({"files"})
-    tree.save(analyse(files), out)
-    return status, stages, tree.load(spark, out)
+    return status, stages, stored(files, out)
 
 
 def statistics(tables: dict[str, DataFrame]) -> DataFrame:
@@ -72,6 +91,3 @@ def statistics(tables: dict[str, DataFrame]) -> DataFrame:
         part = df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("name"), "rows")
         out = part if out is None else out.unionByName(part)
     return out
-
-
-__all__ = ["analyse", "call_edges", "full", "incremental", "statistics"]

@@ -41,7 +41,7 @@ def scan(spark: SparkSession, root: str, exclude: list[str] | None = None, max_d
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
     # what Spark calls the root: its path without the scheme
     inner = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), "^/*" + _quoted(base.split(":", 1)[-1].strip("/")) + "/", "")
-    rows = rows.select(inner.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.decode("content", F.lit("UTF-8")).alias("content"))
+    rows = rows.select(inner.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.decode("content", "UTF-8").alias("content"))
     rows = rows.where(~excluded(F.col("path"), EXCLUDED if exclude is None else exclude) if exclude != [] else F.lit(True))
     rows = describe(rows)
     return rows if max_depth is None else rows.where(F.col("depth") <= max_depth)
@@ -82,7 +82,7 @@ def code_nodes(files: DataFrame, symbols: bool = True) -> DataFrame:
         return modules
     lines = own.select("path", "language", F.split("content", "\n").alias("lines")).select("*", F.posexplode("lines").alias("at", "line"))
     found = F.array(*[F.struct(F.lit(kind).alias("type"), F.regexp_extract("line", p, 1).alias("name")) for kind, p in SYMBOLS.items()])
-    hits = lines.select("path", "language", "lines", "at", F.length(F.regexp_extract("line", r"^(\s*)", 1)).alias("indent"), F.filter(found, lambda x: x["name"] != "")[0].alias("s")).where("s IS NOT NULL")
+    hits = lines.select("path", "language", "lines", "at", F.length(F.regexp_extract("line", r"^(\s*)", 1)).alias("indent"), F.get(F.filter(found, lambda x: x["name"] != ""), F.lit(0)).alias("s")).where("s IS NOT NULL")
     # a symbol ends before the next line, not empty, that is indented no deeper and does not just close it
     after = F.sequence(F.col("at") + 1, F.size("lines"))
     ends = F.array_min(F.filter(after, lambda k: (k == F.size("lines")) | ((F.trim(F.get("lines", k)) != "") & ~F.trim(F.get("lines", k)).rlike(r"^[}\])]") & (F.length(F.regexp_extract(F.get("lines", k), r"^(\s*)", 1)) <= F.col("indent")))))

@@ -157,9 +157,9 @@ def test_clusters(spark):
     nodes = spark.createDataFrame([("t", x) for x in (1, 2, 3, 4, 5)], "block string, node long")
     assert rows(clustering.hierarchical(sims, nodes, "block"), "cluster", "node") == [(1, 1), (1, 2), (1, 3)]
     assert rows(clustering.hierarchical(sims, nodes, "block", stop="reference"), "cluster", "node") == [(1, 1), (1, 2)]
-    edges = spark.createDataFrame([(a, b) for a in range(4) for b in range(a)] + [(3, 9)], "a long, b long")
-    assert rows(clustering.dense_groups(edges), "group", "node") == [(0, 0), (0, 1), (0, 2), (0, 3)]
-    assert dict(rows(clustering.components(edges), "node", "root")) == {x: 0 for x in (0, 1, 2, 3, 9)}
+    edges = spark.createDataFrame([(a, b) for a in range(4) for b in range(a)] + [(3, 9), (9, 10)], "a long, b long")
+    assert rows(clustering.dense_groups(edges), "group", "node") == [(0, 0), (0, 1), (0, 2), (0, 3), (0, 9)]  # 7 of 10 links
+    assert dict(rows(clustering.components(edges), "node", "root")) == {x: 0 for x in (0, 1, 2, 3, 9, 10)}
     members = spark.createDataFrame([("c", 1), ("c", 2)], "cluster string, node long")
     described = spark.createDataFrame([(1, "getUser", "f"), (2, "getUserId", "f")], "node long, name string, type string")
     assert rows(clustering.summary(members, described), "size", "dominant_type", "prefix") == [(2, "f", "getUser")]
