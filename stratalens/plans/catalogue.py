@@ -289,7 +289,7 @@ def dense_groups(t):
     return clustering.dense_groups(dependencies.co_occurrence(t("lineitem"), "l_orderkey", "l_suppkey", 3))
 
 
-@query(f"SELECT type, round(least(1.0, 0.5 + least(0.3, 0.01 * count(*))), 6) AS importance, count(*) AS n FROM ({VARIANTS}) GROUP BY type")
+@query(f"SELECT type, round(least(1.0, 0.5 + least(0.3, 0.01 * count(*)))::DOUBLE, 6) AS importance, count(*) AS n FROM ({VARIANTS}) GROUP BY type")
 def pattern_importance(t):
     counted = variants(t).groupBy("type").agg(F.count("*").alias("n"))
     return counted.select("type", "n", F.round(scores.pattern_importance(F.col("type"), F.col("n")), 6).alias("importance"))
@@ -395,7 +395,7 @@ def module_groups(t):
     return dependencies.module_groups(dependencies.co_occurrence(t("lineitem"), "l_orderkey", "l_suppkey", 3))
 
 
-@query(COOCCUR + " SELECT a, b, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS rank FROM (SELECT a, b, n FROM c UNION ALL SELECT b, a, n FROM c)) WHERE rank <= 3")
+@query(COOCCUR + " SELECT a, b, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY n DESC, b)::INT AS rank FROM (SELECT a, b, n FROM c UNION ALL SELECT b, a, n FROM c)) WHERE rank <= 3")
 def strong_partners(t):
     return dependencies.top_partners(dependencies.co_occurrence(t("lineitem"), "l_orderkey", "l_suppkey", 3))
 
@@ -442,7 +442,7 @@ def node_neighbourhood(t):
 
 
 @query("""WITH r AS (SELECT DISTINCT l_partkey AS k, CASE WHEN l_partkey % 10 = 0 THEN 'no such part' ELSE p_name END AS base FROM lineitem JOIN part ON p_partkey = l_partkey), d AS (SELECT p_name AS base, min(p_partkey) AS definition FROM part GROUP BY p_name, p_brand), n AS (SELECT base, count(*) AS n FROM d GROUP BY base)
-    SELECT r.k, r.base, coalesce(n.n, 0) AS candidates, CASE WHEN n.n IS NULL THEN 0.4 WHEN n.n > 1 THEN 0.72 ELSE 0.8 END AS confidence, count(*) AS links FROM r LEFT JOIN n USING (base) LEFT JOIN d USING (base) GROUP BY ALL""")
+    SELECT r.k, r.base, coalesce(n.n, 0) AS candidates, (CASE WHEN n.n IS NULL THEN 0.4 WHEN n.n > 1 THEN 0.72 ELSE 0.8 END)::DOUBLE AS confidence, count(*) AS links FROM r LEFT JOIN n USING (base) LEFT JOIN d USING (base) GROUP BY ALL""")
 def ambiguous_names(t):
     joined = t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
     refs = joined.select(F.col("l_partkey").alias("k"), F.when(F.col("l_partkey") % 10 == 0, "no such part").otherwise(F.col("p_name")).alias("base")).distinct()
@@ -520,6 +520,6 @@ def vector_norms(t):
     return t("embeddings").select("vec_id", F.round(vectors.dot(F.col("embedding"), F.col("embedding")), 6).alias("norm2"))
 
 
-@query("SELECT source, round(sum(length(text) * 0.25), 6) AS tokens FROM documents GROUP BY source")
+@query("SELECT source, round(sum(length(text) * 0.25::DOUBLE), 6) AS tokens FROM documents GROUP BY source")
 def token_estimates(t):
     return t("documents").groupBy("source").agg(F.round(F.sum(scores.token_estimate(F.col("text"))), 6).alias("tokens"))
