@@ -31,7 +31,9 @@ from . import shared
 CAPACITY = 2048
 END_ID = 0
 #: Words whose ids a worker remembers, and the longest of them in bytes.
-CACHE_WORDS, CACHE_BYTES = 600_000, 64
+CACHE_WORDS, CACHE_BYTES = 250_000, 64
+#: Parts of words whose ids a worker remembers.
+CACHE_PARTS = 300_000
 #: Bytes of the texts whose new words are looked up together.
 BATCH_BYTES = 2 << 20
 #: Words that the library gets in one string.
@@ -79,7 +81,7 @@ class Tokens:
         wanted = set(parts)
         wanted.discard("\n")
         new = [x for x in wanted if x not in self.parts]
-        if len(self.parts) + len(new) > CACHE_WORDS:
+        if len(self.parts) + len(new) > CACHE_PARTS:
             self.parts, new = {}, list(wanted)
         self.parts.update(zip(new, self._look_up(new), strict=True))
         self.parts["\n"] = LINE

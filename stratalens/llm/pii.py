@@ -18,6 +18,7 @@ import unicodedata
 from collections.abc import Iterator
 from hashlib import sha256
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -238,19 +239,16 @@ def find(docs: DataFrame) -> DataFrame:
 
 
 def mask(docs: DataFrame) -> DataFrame:
-    """All rows and columns, with personal data in text masked; n_chars, if there, follows the text."""
-    schema = docs.schema
-    position = schema.names.index("text")
-    length = schema.names.index("n_chars") if "n_chars" in schema.names else None
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = list(batch.columns)
-            texts = [masked(t.as_py()) for t in columns[position]]
-            if length is not None:
-                old = columns[position].to_pylist()
-                columns[length] = pa.array([n if new == t else len(new) for n, new, t in zip(columns[length].to_pylist(), texts, old, strict=True)], columns[length].type)
-            columns[position] = pa.array(texts, columns[position].type)
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
-
-    return docs.mapInArrow(run, schema)
+    """All rows and columns, with personal data in text masked; n_chars, if there, follows a changed text.  Only changed texts come back from Python."""
+
+    @F.pandas_udf("string")
+    def changed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in parts:
+            yield pd.Series([None if (new := masked(t)) == t else new for t in texts], dtype=object)
+
+    name = "__stratalens_masked"  # a column that no input has
+    out = docs.withColumn(name, changed(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    columns = {"text": F.coalesce(name, "text")}
+    if "n_chars" in docs.columns:
+        columns["n_chars"] = F.when(F.col(name).isNull(), F.col("n_chars")).otherwise(F.length(name).cast(docs.schema["n_chars"].dataType))
+    return out.withColumns(columns).drop(name)

@@ -18,6 +18,7 @@ from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +32,7 @@ HEAD = 6
 #: A feature is kept if its log-likelihood ratio (positives against unlabelled) is at least this.
 LEAST_EVIDENCE = 12.0
 #: Words whose weight a worker remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 MODULUS, HELD_OUT = 5, 0
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -105,43 +106,43 @@ def _share(known: DataFrame, docs: DataFrame) -> float:
     return min(1.0, known.count() / max(1, rows))
 
 
-def scored(model: Model):
-    """mapInArrow function: appends score and predicted to each row by its column text; text itself goes unless asked for."""
+class Scorer:
+    """Scores of texts; a worker remembers the weights of words."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        class Known(dict):
-            def __missing__(self, word: str) -> float:
-                if len(self) >= CACHE_WORDS:
-                    self.clear()
-                x = sum(model.weights.get(f, 0.0) for f in features(word))
-                self[word] = x
-                return x
-
-        known = Known()
-        for batch in batches:
-            g = np.array([model.bias + sum(map(known.__getitem__, words(t.as_py()))) for t in batch.column("text")])
-            s = 1 / (1 + np.exp(-np.clip(g, -500, 500)))
-            out = {x: batch.column(x) for x in batch.schema.names if x != "text"}
-            yield pa.RecordBatch.from_pydict(out | {"score": pa.array(s, pa.float64()), "predicted": pa.array((s >= 0.5).astype(np.int32))})
+    def __init__(self, model: Model) -> None:
+        self.model, self.known = model, {}
 
-    return run
+    def __call__(self, text: str | None) -> float:
+        own = words(text)
+        new = [w for w in own if w not in self.known]
+        if len(self.known) + len(new) > CACHE_WORDS:
+            self.known, new = {}, list(own)
+        weights = self.model.weights
+        self.known.update((w, sum(weights.get(f, 0.0) for f in features(w))) for w in new)
+        g = self.model.bias + sum(sorted(map(self.known.__getitem__, own)))  # sorted: the sum must not depend on the set's order
+        return float(1 / (1 + np.exp(-np.clip(g, -500, 500))))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted of every row, from the whole text alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model)
+        for batch in batches:
+            s = np.array([scorer(t.as_py()) for t in batch.column("text")], np.float64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+
     rows = docs.select("doc_id", labelled.held_out(MODULUS, HELD_OUT).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(scored(model), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
 
 
 def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows that the model does not reject, with all their columns; one pass, no join."""
-    schema = docs.schema
-    position = schema.names.index("text")
+    """The rows that the model does not reject, with all their columns; one pass, and only verdicts come back from Python."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            text = batch.column(position)
-            rejected = next(scored(model)(iter([pa.RecordBatch.from_arrays([text], ["text"])]))).column("predicted")
-            yield batch.filter(pa.array(np.array(rejected) == 0))
+    @F.pandas_udf("boolean")
+    def rejected(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scorer = Scorer(model)
+        for texts in parts:
+            yield pd.Series([scorer(t) >= 0.5 for t in texts], dtype=bool)
 
-    return docs.mapInArrow(run, schema)
+    return docs.where(~rejected(F.coalesce(F.col("text").cast("string"), F.lit(""))))
