@@ -51,6 +51,6 @@ def sample(docs: DataFrame, chosen: dict[str, tuple[DataFrame, int]]) -> dict[st
             out[name] = []
             continue
         last = sizes[kept - 1][:2]
-        rows = part.where((F.col("order") < last[0]) | ((F.col("order") == last[0]) & (F.col("doc_id") <= last[1]))).select("order", "doc_id", "text").collect()
-        out[name] = [r["text"] for r in sorted(rows, key=lambda r: (r["order"], r["doc_id"]))]
+        found_rows = part.where((F.col("order") < last[0]) | ((F.col("order") == last[0]) & (F.col("doc_id") <= last[1]))).orderBy("order", "doc_id").select("text")
+        out[name] = [r["text"] for r in found_rows.toLocalIterator()]
     return out

@@ -56,23 +56,31 @@ def words(text: str | None) -> set[str]:
 
 
 def fit(positive: list[str], unlabelled: list[str], prior: float, rounds: int = 1500, rate: float = 0.1, beta: float = 0.0, gamma: float = 1.0, ridge: float = 1e-4) -> Model:
-    """Minimise the non-negative risk by full-batch Adam."""
+    """Minimise the non-negative risk by full-batch Adam.  The lists of texts are used up."""
     if not positive:
         return Model({}, -4.0)
-    rows = [np.unique([f for w in words(t) for f in features(w)]).astype(np.int64) for t in [*positive, *unlabelled]]
     n_p, n_u = len(positive), max(1, len(unlabelled))
-    counts = [np.bincount(np.concatenate([*x, np.zeros(0, np.int64)]), minlength=1 << BITS) for x in (rows[:n_p], rows[n_p:])]
-    in_p, in_u = counts[0] / n_p, (counts[1] + 0.5) / n_u
-    ratio = np.log(np.maximum(in_p, 1e-12) / in_u)
-    chosen = np.flatnonzero((ratio > 0) & (counts[0] * ratio - counts[0] + n_p * in_u >= LEAST_EVIDENCE))
-    place = np.full(1 << BITS, -1)
+    rows = []
+    for part in (positive, unlabelled):
+        while part:  # each text goes once its features are there
+            rows.append(np.unique(np.fromiter((f for w in words(part.pop()) for f in features(w)), np.int32)))
+    counts = [np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32)]
+    for i, own in enumerate(rows):
+        counts[i >= n_p][own] += 1  # distinct within a row
+    seen = np.flatnonzero(counts[0])
+    c, in_u = counts[0][seen].astype(float), (counts[1][seen] + 0.5) / n_u
+    ratio = np.log(c / n_p / in_u)
+    strong = (ratio > 0) & (c * ratio - c + n_p * in_u >= LEAST_EVIDENCE)
+    chosen, start = seen[strong], ratio[strong]
+    place = np.full(1 << BITS, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
     held = [x[x >= 0] for x in (place[r] for r in rows)]
-    col = np.concatenate([*held, np.zeros(0, np.int64)])
+    del rows, place, counts
+    col = np.concatenate([*held, np.zeros(0, np.int32)])
     row = np.repeat(np.arange(len(held)), [len(x) for x in held])
     is_p = np.arange(len(held)) < n_p
     w, m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
-    w[:-1], w[-1] = ratio[chosen], np.log(prior / (1 - prior))
+    w[:-1], w[-1] = start, np.log(prior / (1 - prior))
     for t in range(1, rounds + 1):
         g = w[-1] + np.bincount(row, w[col], minlength=len(held))
         s = 1 / (1 + np.exp(-np.clip(g, -30, 30)))  # the sigmoid loss of -g; of g it is 1 - s
