@@ -324,12 +324,23 @@ def trigrams(t):
 @query(f"""WITH l AS (SELECT DISTINCT conv_id AS g, unnest({TERMS.format(n=12)}) AS i FROM conversations), z AS (SELECT g, count(*) AS n FROM l GROUP BY g), s AS (SELECT a.g AS a, b.g AS b, count(*) AS k FROM l a JOIN l b ON a.i = b.i AND a.g < b.g GROUP BY ALL)
     SELECT a, b, jaccard FROM (SELECT a, b, round(k / (x.n + y.n - k), 6) AS jaccard FROM s JOIN z x ON x.g = a JOIN z y ON y.g = b) WHERE jaccard > 0.15""")
 def jaccard_conversations(t):
+    """Overlap of the long words (12 characters and more) only; `jaccard_conversations_words` takes the reference's words."""
     from ..operators import semantics
 
     long = t("conversations").select("conv_id", F.explode(F.array_distinct(text.word_list(F.col("text"), 12))).alias("term"))
     return semantics.overlaps(long, "conv_id", "term")
 
 
+@query(f"""WITH l AS (SELECT DISTINCT conv_id AS g, unnest({TERMS.format(n=3)}) AS i FROM conversations), z AS (SELECT g, count(*) AS n FROM l GROUP BY g), s AS (SELECT a.g AS a, b.g AS b, count(*) AS k FROM l a JOIN l b ON a.i = b.i AND a.g < b.g GROUP BY ALL)
+    SELECT a, b, jaccard FROM (SELECT a, b, round(k / (x.n + y.n - k), 6) AS jaccard FROM s JOIN z x ON x.g = a JOIN z y ON y.g = b) WHERE jaccard > 0.15""")
+def jaccard_conversations_words(t):
+    """Overlap of whole texts: all words of more than 2 characters."""
+    from ..operators import semantics
+
+    long = t("conversations").select("conv_id", F.explode(F.array_distinct(text.word_list(F.col("text"), 3))).alias("term"))
+    return semantics.block_overlaps(long, "conv_id", "term")
+
+
 @query("SELECT role, question, count(*) AS n FROM (SELECT role, CASE WHEN regexp_matches(lower(text), 'pattern|architecture|design|structure') THEN 'pattern' WHEN regexp_matches(lower(text), 'relationship|connect|between|interact|depends') THEN 'relationship' WHEN regexp_matches(lower(text), 'implement|add feature|create|extend|write code') THEN 'implementation' WHEN regexp_matches(lower(text), 'bug|fix|error|issue|problem') THEN 'bug' WHEN regexp_matches(lower(text), 'standard|convention|best practice|guideline') THEN 'standard' ELSE 'explanation' END AS question FROM conversations) GROUP BY ALL")
 def question_types(t):
     return t("conversations").groupBy("role", search.question_type(F.col("text")).alias("question")).agg(F.count("*").alias("n"))

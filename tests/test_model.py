@@ -196,3 +196,36 @@ def test_streamed_changes(spark, tmp_path):
         run.awaitTermination()
         found = rows(spark.read.parquet(str(tmp_path / "out")), "path", "content_hash", "status")
         assert found == ([("a", "1", "added"), ("b", "1", "added")] if i == 0 else [("a", "1", "added"), ("b", "1", "added"), ("b", "2", "modified")])
+
+
+def test_conversations_overlap_by_all_their_words(spark, tmp_path):
+    import random
+
+    from stratalens.plans import catalogue
+
+    rng = random.Random(3)
+    turns = [(i % 40, i // 40, " ".join(rng.choices(["the", "cat", "sat", "ab", "mat", *(f"w{k}" for k in range(30)), "extraordinarily"], k=rng.randint(0, 15)))) for i in range(100)] + [(None, 0, "cat sat"), (41, 0, None)]
+    spark.createDataFrame(turns, "conv_id long, turn int, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    words = {}
+    for c, _, t in turns:
+        if c is not None:
+            words.setdefault(c, set()).update(w for w in (t or "").split() if len(w) > 2)
+    want = [(a, b, round(len(words[a] & words[b]) / len(words[a] | words[b]), 6)) for a in sorted(words) for b in sorted(words) if a < b and words[a] & words[b]]
+    want = [x for x in want if x[2] > 0.15]
+    assert len(want) > 50
+    assert rows(catalogue.QUERIES["jaccard_conversations_words"](spark, str(tmp_path)), "a", "b", "jaccard") == sorted(want, key=repr)
+    members = spark.createDataFrame([(c, w) for c, ws in words.items() for w in ws], "g long, i string")
+    assert rows(semantics.block_overlaps(members, "g", "i", blocks=1), "a", "b", "jaccard") == sorted(want, key=repr)
+
+
+def test_overlap_tiles_agree_however_small(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    a, b = rng.random((9, 50)) < 0.4, rng.random((7, 50)) < 0.4
+    a[:, :3] = b[:, :3] = True
+    for dense, chunk in ((2048, 1 << 21), (2, 3)):
+        monkeypatch.setattr(semantics, "DENSE", dense)
+        monkeypatch.setattr(semantics, "CHUNK", chunk)
+        (ra, ca), (rb, cb) = np.nonzero(a), np.nonzero(b)
+        assert (semantics._shared((ra, rb), (ca, cb), (9, 7), 50) == a.astype(int) @ b.T.astype(int)).all()
