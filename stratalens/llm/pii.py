@@ -4,8 +4,11 @@ Plain identifiers (email, ip, card, phone) are found first.  Transducers then re
 into a normal form: look-alike letters and digits to ASCII, invisible characters to nothing, disguised "at"
 and "dot" to their signs, spelled digits to digits; each character of the normal form knows which source
 characters it stands for.  The same detectors search the normal form, and their spans are mapped back.  A
-mapped span counts unless a plain one of its kind covers it.  Texts that no transducer would change are not
-searched again.
+mapped span counts unless a plain one of its kind covers it.  Runs that mix number words, digits and words for
+"dot" have a second normal form, since a number beside a spelled one may or may not belong to it.  Texts that
+no transducer would change are not searched again.
+
+A bare "at" counts only if a dot of its domain is disguised too: "look at example.com" is prose.
 
 Every detector is linear in the text.  Offsets are code points, ends exclusive.  Defined cases: a null text is an
 empty one without spans (and stays null when masked).
@@ -56,12 +59,15 @@ AT_WORDS, DOT_WORDS, PLUS_WORDS = "at", "dot|punkt|punto|point", "plus|más|mas"
 
 _NUMBER = "|".join(sorted(NUMBER_OF, key=len, reverse=True))
 #: Characters that a transducer may change.
-STRANGE = re.compile("[^\x00-\x7f¡-¬®-¶¸-ÿ]")
+STRANGE = re.compile("[^\x00-\x7f¡-©«¬®-±´-¶¸»-ÿ]")
 BRACKETED = re.compile(rf"[ \t]*[(\[{{<][ \t]*(?:(?P<at>{AT_WORDS}|@)|{DOT_WORDS}|\.)[ \t]*[)\]}}>][ \t]*", re.I)
-BARE = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}+(?P<at> (?:{AT_WORDS}) |@)[A-Za-z0-9-]+(?:(?: (?:{DOT_WORDS}) |\.)[A-Za-z0-9-]+)*(?: (?:{DOT_WORDS}) )[A-Za-z0-9-]+(?: (?:{DOT_WORDS}) [A-Za-z0-9-]+)*", re.I)
+BARE = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}+(?P<at> (?:{AT_WORDS}) |@)[A-Za-z0-9-]++(?:(?: (?:{DOT_WORDS}) |\.)[A-Za-z0-9-]++)++", re.I)
 BARE_DOT = re.compile(rf" (?:{DOT_WORDS}) ", re.I)
 SPELLED = re.compile(rf"(?<!\w)(?:(?:{PLUS_WORDS}|\+)[ \t]*)?(?:{_NUMBER})(?:[ \t.,-]{{1,3}}(?:{_NUMBER}|{DOT_WORDS}|[0-9]+)(?!\w)){{3,}}", re.I)
-PART = re.compile(rf"(?P<number>{_NUMBER})|(?P<dot>{DOT_WORDS})|(?P<plus>{PLUS_WORDS}|\+)|(?P<digits>[0-9]+)|(?P<gap>[ \t.,-]+)", re.I)
+#: Number words, digits and words for "dot" in any order.
+MIXED = re.compile(rf"(?:(?<!\w)(?:{PLUS_WORDS})[ \t]{{0,3}}|\+[ \t]{{0,3}})?(?:(?<![0-9])[0-9]++|(?<!\w)(?:{_NUMBER})(?![^\W\d]))(?:[ \t.,()-]{{0,4}}(?:[0-9]++|(?:{_NUMBER}|{DOT_WORDS})(?![^\W\d])))++", re.I)
+LETTER = re.compile(r"[^\W\d]")
+PART = re.compile(rf"(?P<number>{_NUMBER})|(?P<dot>{DOT_WORDS})|(?P<plus>{PLUS_WORDS}|\+)|(?P<digits>[0-9]+)|(?P<gap>[ \t.,()-]+)", re.I)
 
 
 def luhn(digits: str) -> bool:
@@ -115,6 +121,11 @@ class Traced:
     def __init__(self, text: str) -> None:
         self.text, self.starts, self.ends = text, list(range(len(text))), list(range(1, len(text) + 1))
 
+    def copy(self) -> Traced:
+        out = Traced("")
+        out.text, out.starts, out.ends = self.text, self.starts, self.ends
+        return out
+
     def rewrite(self, edits: list[tuple[int, int, str]]) -> None:
         """Replace ranges (ascending, apart) of the present text; each new character stands for its whole range."""
         if not edits:
@@ -149,35 +160,58 @@ def _spelled(m: re.Match) -> list[tuple[int, int, str]]:
     return out
 
 
-def deobfuscated(text: str) -> Traced | None:
-    """The normal form, or None if it is the text itself."""
+def _mixed(text: str) -> list[tuple[int, int, str]]:
+    """Edits of runs that mix words and digits; what parts two digit runs stays, if the run begins with digits."""
+    out = []
+    for m in MIXED.finditer(text):
+        if not LETTER.search(m.group()):
+            continue
+        parts = list(PART.finditer(m.group()))
+        loose = next(p.lastgroup for p in parts if p.lastgroup in ("number", "digits")) == "digits"
+        kept = {m.start() + y.start() for x, y, z in zip(parts, parts[1:], parts[2:], strict=False) if loose and x["digits"] and y["gap"] and z["digits"]}
+        out += [e for e in _spelled(m) if e[0] not in kept]
+    return out
+
+
+def deobfuscated(text: str) -> list[Traced]:
+    """The normal forms; none if the text is its own."""
     traced = None
     if STRANGE.search(text):
         edits = [(i, i + 1, x) for m in STRANGE.finditer(text) if (x := plain_char(c := text[i := m.start()])) != c]
         if edits:
             traced = Traced(text)
             traced.rewrite(edits)
-            text = traced.text
-    for find in (_brackets, _bare, _digits):
-        if edits := find(text):
+    source = text
+    for find in (_brackets, _bare):
+        if edits := find(traced.text if traced else text, source, traced):
             traced = traced or Traced(text)
             traced.rewrite(edits)
-            text = traced.text
-    return traced
+    text = traced.text if traced else text
+    spelled, mixed = _digits(text), _mixed(text)
+    if not spelled and not mixed:
+        return [traced] if traced else []
+    out = []
+    for edits in [spelled] if spelled == mixed else [spelled, mixed]:
+        if edits or traced:
+            form = traced.copy() if traced else Traced(text)
+            form.rewrite(edits)
+            out.append(form)
+    return out
 
 
-def _brackets(text: str) -> list[tuple[int, int, str]]:
+def _brackets(text: str, source: str, traced: Traced | None) -> list[tuple[int, int, str]]:
     return [(m.start(), m.end(), "@" if m["at"] else ".") for m in BRACKETED.finditer(text)] if re.search(r"[(\[{<]", text) else []
 
 
-def _bare(text: str) -> list[tuple[int, int, str]]:
-    if not BARE_DOT.search(text):
+def _bare(text: str, source: str, traced: Traced | None) -> list[tuple[int, int, str]]:
+    if not traced and not BARE_DOT.search(text):
         return []
     out = []
     for m in BARE.finditer(text):
-        if m["at"] != "@":
+        dots = [(x.start(), x.end(), ".") for x in BARE_DOT.finditer(text, m.end("at"), m.end())]
+        if m["at"] != "@" and (dots or traced and any(text[i] == "." and source[traced.starts[i] : traced.ends[i]] != "." for i in range(m.end("at"), m.end()))):
             out.append((m.start("at"), m.end("at"), "@"))
-        out += [(x.start(), x.end(), ".") for x in BARE_DOT.finditer(text, m.end("at"), m.end())]
+        out += dots
     return out
 
 
@@ -189,19 +223,19 @@ def spans(text: str | None) -> tuple[list[Span], list[Span]]:
     """Plain spans, and all spans, each sorted by start, then kind."""
     text = text or ""
     base = plain_spans(text)
-    traced = deobfuscated(text)
-    if traced is None:
-        return base, base
-    more = [(traced.starts[a], traced.ends[b - 1], k) for a, b, k in plain_spans(traced.text)]
-    covered: dict[int, list[Span]] = {k: [x for x in base if x[2] == k] for k in range(len(KINDS))}
-    out, at = list(base), [0] * len(KINDS)
-    for a, b, k in more:  # both ascend, so one pass over the plain spans of each kind does
-        own = covered[k]
-        while at[k] < len(own) and own[at[k]][1] <= a:
-            at[k] += 1
-        if not (at[k] < len(own) and own[at[k]][0] <= a and b <= own[at[k]][1]):
-            out.append((a, b, k))
-    return base, sorted(set(out), key=lambda x: (x[0], x[2], x[1]))
+    out = list(base)
+    for traced in deobfuscated(text):
+        more = [(traced.starts[a], traced.ends[b - 1], k) for a, b, k in plain_spans(traced.text)]
+        covered: dict[int, list[Span]] = {k: [x for x in out if x[2] == k] for k in range(len(KINDS))}
+        at = [0] * len(KINDS)
+        for a, b, k in more:  # both ascend, so one pass over the spans of each kind does
+            own = covered[k]
+            while at[k] < len(own) and own[at[k]][1] <= a:
+                at[k] += 1
+            if not (at[k] < len(own) and own[at[k]][0] <= a and b <= own[at[k]][1]):
+                out.append((a, b, k))
+        out = sorted(set(out), key=lambda x: (x[0], x[2], x[1]))
+    return base, out
 
 
 def written(found: list[Span]) -> str:

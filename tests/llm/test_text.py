@@ -179,6 +179,35 @@ def test_clean_texts_stay_and_hard_ones_end(spark):
         pii.spans(t)
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "span"),
+    [
+        ("to bob at example [dot] com now", "email", "bob at example [dot] com"),
+        ("to bob at mail.example (dot) com now", "email", "bob at mail.example (dot) com"),
+        ("to bob at example。com now", "email", "bob at example。com"),
+        ("to bob@mail.example dot com now", "email", "bob@mail.example dot com"),
+        ("host 192 dot 168 dot 0 dot 1 is up", "ip", "192 dot 168 dot 0 dot 1"),
+        ("host 192.168.zero.one is up", "ip", "192.168.zero.one"),
+        ("host 192.168.0.¹ is up", "ip", "192.168.0.¹"),
+        ("call +1 555 123 45 six seven today", "phone", "+1 555 123 45 six seven"),
+        ("call +1 (555) one two three 4567 today", "phone", "+1 (555) one two three 4567"),
+        ("pay 4111 1111 1111 one one one one end", "card", "4111 1111 1111 one one one one"),
+        ("item 7, four one one one one one one one one one one one one one one one end", "card", "four one one one one one one one one one one one one one one one"),
+    ],
+)
+def test_mixed_disguises_are_found(text, kind, span):
+    assert (text.index(span), text.index(span) + len(span), pii.KINDS.index(kind)) in pii.spans(text)[1]
+    assert pii.masked(text) == text.replace(span, f"<{kind.upper()}>")
+
+
+def test_mixed_runs_leave_prose_alone_and_end():
+    for t in ("look at example.com (today)", "In 2019 two of 12, one dot.", "1 2 3 4 5 6 7 8 9 10 11 12 13", "see º and ª, m² at noon"):
+        assert pii.spans(t) == ([], [])
+    for t in ("1 " * 100_000 + "one", "12 dot " * 40_000, "+" * 200_000, "a at b." * 40_000 + " dot ", "plus " * 50_000, "1(" * 100_000, "1" * 200_000):
+        pii.spans(t)
+    assert all(pii.STRANGE.match(c) for c in map(chr, range(256)) if pii.plain_char(c) != c)
+
+
 def test_pii_tables(spark, docs):
     rows = [*ODD, (50, "a@b.co, +1 (555) 123-4567 and 10.0.0.1"), (51, "x (at) y (dot) org")]
     found = {r.doc_id: r for r in pii.find(clashing(docs(rows))).where("doc_id is not null").collect()}
