@@ -18,6 +18,7 @@ from itertools import combinations
 from math import comb, log2
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -137,21 +138,47 @@ def links(fps: DataFrame, distance: int = DISTANCE, bucket_rows: int = BUCKET_RO
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, distance: int = DISTANCE, size: int = SHINGLE, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """One row per input row: doc_id, fp, component_id."""
+def _grouped(docs: DataFrame, distance: int, size: int, bucket_rows: int) -> DataFrame:
+    """One row per input row: doc_id, fp, component_id, and the fingerprint of the component's row that stays (smallest id, then fingerprint)."""
     spark = docs.sparkSession
     salts = shared.shuffle_partitions(spark)
     rows = shared.stored(fingerprints(docs, size).withColumn("salt", shared.bucket_of("doc_id", salts)), "fingerprints")
     heads = shared.stored(rows.groupBy("fp").agg(F.min("doc_id").alias("head")), "heads")
     found = components(links(heads.select("fp"), distance, bucket_rows))
     found = shared.stored(found.join(heads, found["node"] == heads["fp"]).select("fp", "root", "head"), "members")
-    least = found.groupBy("root").agg(F.min("head").alias("least"))
-    named = heads.join(found.join(least, "root").select("fp", "least"), "fp", "left").select("fp", F.coalesce("least", "head").alias("component_id"))
-    return shared.spread_join(rows, shared.stored(named, "named"), ["fp"], "salt").select("doc_id", "fp", "component_id")
+    least = found.groupBy("root").agg(F.min(F.struct(F.col("head").isNull().alias("none"), "head", F.col("fp").alias("keep_fp"))).alias("least"))
+    linked = found.join(least, "root").select("fp", "least")
+    named = heads.join(linked, "fp", "left").select("fp", F.coalesce("least.head", "head").alias("component_id"), F.coalesce("least.keep_fp", "fp").alias("keep_fp"))
+    return shared.spread_join(rows, shared.stored(named, "named"), ["fp"], "salt").select("doc_id", "fp", "component_id", "keep_fp")
 
 
-def drop_near_duplicates(docs: DataFrame, **parameters) -> DataFrame:
-    """One document of each component stays: that with the smallest id (a row of each id, if all are null)."""
-    found = shared.stored(near_duplicates(docs, **parameters), "components")
-    gone = shared.stored(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(shared.small(gone, 24), docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+def near_duplicates(docs: DataFrame, distance: int = DISTANCE, size: int = SHINGLE, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """One row per input row: doc_id, fp, component_id."""
+    return _grouped(docs, distance, size, bucket_rows).drop("keep_fp")
+
+
+def drop_near_duplicates(docs: DataFrame, distance: int = DISTANCE, size: int = SHINGLE, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """One row of each component stays: that with the smallest id, then the smallest fingerprint (a null id only if all are null).
+
+    Rows are told apart by id and fingerprint.  Only ids with several rows, some of which stay, need their fingerprints again.
+    """
+    found = _grouped(docs, distance, size, bucket_rows)
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("fp") == F.col("keep_fp"))
+    found = shared.stored(found.select("doc_id", "fp", stays.alias("stays")), "components")
+    ids = found.groupBy("doc_id").agg(F.count("*").alias("rows"), F.count_if("stays").alias("kept")).where("kept = 0 OR rows > 1")
+    ids = shared.stored(ids.select(F.col("doc_id").alias("_id"), (F.col("kept") > 0).alias("_mixed")), "gone")
+    rest = docs.join(shared.small(ids, 24), docs["doc_id"].eqNullSafe(ids["_id"]), "left_anti")
+    mixed = ids.where("_mixed")
+    if mixed.isEmpty():
+        return rest
+
+    @F.pandas_udf("long")
+    def of(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: fingerprint(t, size)).astype("int64")
+
+    name = "__stratalens_fp"  # a column that no input has
+    some = docs.join(shared.small(mixed, 24), docs["doc_id"].eqNullSafe(mixed["_id"]), "left_semi").withColumn(name, of(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    kept = found.where("stays").join(shared.small(mixed, 24), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp")).distinct()
+    kept = shared.stored(kept, "kept")
+    some = some.join(shared.small(kept, 32), some["doc_id"].eqNullSafe(kept["_id"]) & (some[name] == kept["_fp"]), "left_semi")
+    return rest.unionByName(some.dropDuplicates(["doc_id", name]).drop(name))

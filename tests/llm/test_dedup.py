@@ -131,6 +131,22 @@ def test_simhash_drop(spark, docs):
     assert simhash.drop_near_duplicates(docs([])).count() == 0
 
 
+def test_simhash_drop_keeps_one_row_of_each_component(spark, docs):
+    def text(k):
+        return " ".join(f"{k}x{i}" for i in range(300))
+
+    near = {k: text(k) + " more" for k in "abcd"}
+    assert all(0 <= bin((simhash.fingerprint(text(k)) ^ simhash.fingerprint(near[k])) & (1 << 64) - 1).count("1") <= 4 for k in "abcd")
+    rows = [(3, text("a")), (None, near["a"]), (None, text("e")), (None, text("f"))]  # unrelated texts with null ids stay
+    rows += [(2, text("b")), (7, near["b"]), (7, text("g"))]  # two texts under one id: only the near copy goes
+    rows += [(None, text("c")), (None, near["c"]), (None, text("c"))]  # all ids null: one row stays
+    rows += [(5, text("d")), (5, near["d"]), (5, text("d"))]
+    kept = [(r.doc_id, r.text) for r in simhash.drop_near_duplicates(clashing(docs(rows))).collect()]
+    sole = {(3, text("a")), (None, text("e")), (None, text("f")), (2, text("b")), (7, text("g"))}
+    assert sole <= set(kept) and len(kept) == 7
+    assert sorted(((i, t[0]) for i, t in set(kept) - sole), key=str) == [(5, "d"), (None, "c")]
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "x long, y long")).collect()}
