@@ -68,6 +68,7 @@ PAIRS = "SELECT e.vec_id AS a, q.vec_id AS b, round(list_cosine_similarity(e.emb
 
 @query(f"SELECT * FROM ({PAIRS}) WHERE sim >= 0.35")
 def vector_pairs_threshold(t):
+    """Pairs of one label: it plays the part of the node type, and the reference compares nodes of one type only."""
     return clustering.vector_pairs(t("embeddings"), "vec_id", "embedding", 0.35, ["label"])
 
 
@@ -75,6 +76,7 @@ def vector_pairs_threshold(t):
     r AS (SELECT x AS node, x AS root FROM e UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.node)
     SELECT node, min(root) AS root FROM r GROUP BY node""")
 def vector_components(t):
+    """Components of the pairs of one label (see `vector_pairs_threshold`)."""
     return clustering.components(clustering.vector_pairs(t("embeddings"), "vec_id", "embedding", 0.35, ["label"]))
 
 
