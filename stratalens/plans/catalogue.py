@@ -506,16 +506,32 @@ def flow_paths(t):
     return dataflow.paths(flows, ids.withColumn("role", role)).select(F.array_join("nodes", ">").alias("path"), "entry", "exit")
 
 
-@query(f"""WITH e AS (SELECT s AS source_id, t AS target_id FROM ({USER_FLOWS})), t0 AS (SELECT DISTINCT event_type AS node_id, CASE WHEN event_type = 'signup' THEN 'user' END AS data_type FROM events),
-    t1 AS (SELECT t.node_id, coalesce(t.data_type, (SELECT x.data_type FROM e JOIN t0 x ON x.node_id = e.source_id WHERE e.target_id = t.node_id AND x.data_type IS NOT NULL ORDER BY e.source_id LIMIT 1)) AS data_type FROM t0 t)
-    SELECT node_id, data_type FROM t1""")
-def type_propagation(t):
+def _typed_events(t):
+    """Event types, of which signup has a data type, and the flows between them."""
     from pyspark.sql.window import Window
 
     nxt = F.lead("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     flows = t("events").select(F.col("event_type").alias("source_id"), nxt.alias("target_id")).where("target_id IS NOT NULL AND source_id <> target_id").distinct().withColumn("transformations", F.array().cast("array<string>"))
     nodes = t("events").select(F.col("event_type").alias("node_id")).distinct().withColumn("data_type", F.when(F.col("node_id") == "signup", "user"))
-    return dataflow.propagated(nodes, flows, 1)
+    return nodes, flows
+
+
+@query(f"""WITH e AS (SELECT s AS source_id, t AS target_id FROM ({USER_FLOWS})), t0 AS (SELECT DISTINCT event_type AS node_id, CASE WHEN event_type = 'signup' THEN 'user' END AS data_type FROM events),
+    t1 AS (SELECT t.node_id, coalesce(t.data_type, (SELECT x.data_type FROM e JOIN t0 x ON x.node_id = e.source_id WHERE e.target_id = t.node_id AND x.data_type IS NOT NULL ORDER BY e.source_id LIMIT 1)) AS data_type FROM t0 t)
+    SELECT node_id, data_type FROM t1""")
+def type_propagation(t):
+    """The first round only; `type_propagation_rounds` runs the reference's three."""
+    return dataflow.propagated(*_typed_events(t), 1)
+
+
+def _propagation_rounds(n: int) -> str:
+    each = ", ".join(f"t{k} AS MATERIALIZED (SELECT t.node_id, coalesce(t.data_type, (SELECT min_by(x.data_type, e.source_id) FROM e JOIN t{k - 1} x ON x.node_id = e.source_id WHERE e.target_id = t.node_id AND x.data_type IS NOT NULL)) AS data_type FROM t{k - 1} t)" for k in range(1, n + 1))
+    return f"""WITH e AS MATERIALIZED (SELECT s AS source_id, t AS target_id FROM ({USER_FLOWS})), t0 AS (SELECT DISTINCT event_type AS node_id, CASE WHEN event_type = 'signup' THEN 'user' END AS data_type FROM events), {each} SELECT node_id, data_type FROM t{n}"""
+
+
+@query(_propagation_rounds(3))
+def type_propagation_rounds(t):
+    return dataflow.propagated(*_typed_events(t))
 
 
 @query("""SELECT role, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(lower(p_name), 'input|source|api|fetch|get|provider') THEN 'source' WHEN regexp_matches(lower(p_name), 'output|sink|save|write|send') THEN 'sink' WHEN regexp_matches(lower(p_name), 'transform|convert|format|parse|map|process') THEN 'transformer' WHEN regexp_matches(lower(p_name), 'store|state|cache|repository|db|database') THEN 'store' END AS role FROM part) GROUP BY role""")

@@ -229,3 +229,13 @@ def test_overlap_tiles_agree_however_small(monkeypatch):
         monkeypatch.setattr(semantics, "CHUNK", chunk)
         (ra, ca), (rb, cb) = np.nonzero(a), np.nonzero(b)
         assert (semantics._shared((ra, rb), (ca, cb), (9, 7), 50) == a.astype(int) @ b.T.astype(int)).all()
+
+
+def test_types_reach_three_flows_far(spark, tmp_path):
+    from stratalens.plans import catalogue
+
+    chain = ["signup", "view", "click", "purchase", "error"]
+    events = [(2 * i + k, i, f"2024-01-01 00:00:0{k}", e) for i, pair in enumerate(zip(chain, chain[1:], strict=False)) for k, e in enumerate(pair)]
+    spark.createDataFrame(events, "event_id long, user_id long, ts string, event_type string").write.parquet(str(tmp_path / "events.parquet"))
+    got = dict(rows(catalogue.QUERIES["type_propagation_rounds"](spark, str(tmp_path)), "node_id", "data_type"))
+    assert got == {"signup": "user", "view": "user", "click": "user", "purchase": "user", "error": None}
