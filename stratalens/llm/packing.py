@@ -13,135 +13,18 @@ table gives no rows.
 
 from __future__ import annotations
 
-import json
-import re
-from array import array
 from collections.abc import Iterator
-from hashlib import sha256
 from zlib import crc32
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from . import shared
+from . import shared, words
 
 CAPACITY = 2048
 END_ID = 0
-#: Words whose ids a worker remembers, and the longest of them in bytes.
-CACHE_WORDS, CACHE_BYTES = 250_000, 64
-#: Parts of words whose ids a worker remembers.
-CACHE_PARTS = 300_000
-#: Bytes of the texts whose new words are looked up together.
-BATCH_BYTES = 2 << 20
-#: Words that the library gets in one string.
-LOOK_UP_WORDS = 500
-
-# The pre-tokeniser pattern under which a word of printable ASCII and Latin-1 letters can be split here.
-SPLIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_L = "a-zß-öø-ÿ"
-LATIN_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[0-9]|\n|[^{_L}0-9\n]+"
-#: Stands between words; no id has it.
-LINE = b"\xff" * 4
-NOT_LATIN = re.compile("[^\x21-\x7eÀ-ÖØ-öø-ÿ]")
-
-
-class Tokens:
-    """Ids of texts by the `tokenizers` library, word by word.
-
-    For vocabularies whose pre-tokeniser never joins what ASCII white space parts (and drops it), a text's ids are
-    its words' ids in a row, so that a word is tokenised once as long as the worker remembers it.
-    """
-
-    def __init__(self, spec: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_str(spec)
-        self.library.no_truncation()
-        self.library.no_padding()
-        #: Its added tokens: one of them parts the words that the library gets in one string.
-        self.added = [x["content"] for x in json.loads(spec)["added_tokens"] if x["special"] and not x["normalized"]]
-        self.known: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-        self.split = re.compile(LATIN_PATTERN).findall if f'"{json.dumps(SPLIT_PATTERN)[1:-1]}"' in spec and '"Lowercase"' in spec else None
-
-    def _ids(self, words: list[bytes]) -> list[bytes]:
-        """Ids of new words: by their parts, which many words share, where the split is known."""
-        texts = [w.decode("utf-8", "replace") for w in words]
-        if self.split is None:
-            return self._look_up(texts)
-        strange = lambda t: NOT_LATIN.search(t) or any(x in t for x in self.added)
-        odd = [i for i, t in enumerate(texts) if strange(t)] if strange("".join(texts)) else []
-        own = dict(zip(odd, self._look_up([texts[i] for i in odd]), strict=True))
-        for i in odd:
-            texts[i] = ""
-        parts = self.split("\n".join(texts).lower())  # a line end is a part of its own
-        wanted = set(parts)
-        wanted.discard("\n")
-        new = [x for x in wanted if x not in self.parts]
-        if len(self.parts) + len(new) > CACHE_PARTS:
-            self.parts, new = {}, list(wanted)
-        self.parts.update(zip(new, self._look_up(new), strict=True))
-        self.parts["\n"] = LINE
-        joined = b"".join(map(self.parts.__getitem__, parts))
-        del self.parts["\n"]
-        found = joined.split(LINE) if words else []
-        for i, raw in own.items():
-            found[i] = raw
-        return found
-
-    def _look_up(self, texts: list[str]) -> list[bytes]:
-        if not self.added or self.added[0] in "\0".join(texts):
-            return [array("I", x.ids).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-        mark = self.added[0]
-        out: list[bytes] = []
-        for at in range(0, len(texts), LOOK_UP_WORDS):
-            ids = np.array(self.library.encode_batch_fast([mark.join(texts[at : at + LOOK_UP_WORDS])], add_special_tokens=False)[0].ids, "<u4")
-            cuts = [-1, *np.flatnonzero(ids == self.library.token_to_id(mark)).tolist(), len(ids)]
-            raw = ids.tobytes()
-            out += [raw[4 * a + 4 : 4 * b] for a, b in zip(cuts, cuts[1:], strict=False)]
-        return out
-
-    def encode(self, texts: Iterator[str | bytes | None]) -> Iterator[bytes]:
-        """For each text its ids, as little-endian unsigned 32-bit integers."""
-        held, size = [], 0
-        for text in texts:
-            raw = text if isinstance(text, bytes) else (text or "").encode("utf-8", "replace")
-            held.append(raw.split())
-            size += len(raw)
-            if size >= BATCH_BYTES:
-                yield from self._join(held)
-                held, size = [], 0
-        yield from self._join(held)
-
-    def _join(self, held: list[list[bytes]]) -> Iterator[bytes]:
-        """Whole texts from their words' ids."""
-        wanted = set().union(*held)
-        new = [w for w in wanted if w not in self.known]
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known, new = {}, list(wanted)
-        self.known.update(zip(new, self._ids(new), strict=True))
-        get = self.known.__getitem__
-        for words in held:
-            yield b"".join(map(get, words))
-        for w in new:
-            if len(w) > CACHE_BYTES:
-                del self.known[w]
-
-
-_tokens: dict[str, Tokens] = {}
-
-
-def tokens(spec: str) -> Tokens:
-    """One tokeniser for each vocabulary and worker."""
-    name = sha256(spec.encode()).hexdigest()
-    if name not in _tokens:
-        _tokens.clear()
-        _tokens[name] = Tokens(spec)
-    return _tokens[name]
-
 
 def fullest(lengths: list[int], counts: dict[int, int], room: int) -> dict[int, int]:
     """The multiset of available lengths with the largest sum up to `room`; longer pieces first among equals.
@@ -200,20 +83,26 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = END_ID.to_bytes(4, "little")
         for batch in batches:
-            rows, nth, starts, lengths, sums = [], [], [], [], []
-            for i, raw in enumerate(tokens(spec).encode(t.as_py() for t in batch.column("text"))):
-                ids = raw + end
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    rows.append(i)
-                    nth.append(k)
-                    starts.append(at // 4)
-                    lengths.append(len(part) // 4)
-                    sums.append(crc32(part))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(nth, pa.int32()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(sums, pa.int64())],
-                ["doc_id", "piece", "start", "length", "ids_crc32"],
-            )
+            first = 0
+            for ids, bounds in words.tokens(spec).encode(batch.column("text")):
+                raw = memoryview(ids).cast("B")
+                rows, nth, starts, lengths, sums = [], [], [], [], []
+                for i, (a, b) in enumerate(zip(bounds.tolist(), bounds[1:].tolist(), strict=False), first):
+                    total = b - a + 1  # with the end id
+                    for k, at in enumerate(range(0, total, capacity)):
+                        length = min(capacity, total - at)
+                        last = at + length == total
+                        value = crc32(raw[4 * (a + at) : 4 * (a + at + length - last)])
+                        rows.append(i)
+                        nth.append(k)
+                        starts.append(at)
+                        lengths.append(length)
+                        sums.append(crc32(end, value) if last else value)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(nth, pa.int32()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(sums, pa.int64())],
+                    ["doc_id", "piece", "start", "length", "ids_crc32"],
+                )
+                first += len(bounds) - 1
 
     rows = docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("text"))
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")

@@ -5,9 +5,10 @@ from hashlib import sha256
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from stratalens.llm import bpe, packing, pii, quality, queries, toxicity
+from stratalens.llm import bpe, packing, pii, quality, queries, toxicity, words
 
 from .conftest import ODD, clashing
 
@@ -65,11 +66,27 @@ def test_bpe_ranks_ascend_where_products_rank_below_their_parts():
 # packing
 
 
-def test_word_ids_equal_the_library(monkeypatch):
-    monkeypatch.setattr(packing, "CACHE_WORDS", 200)
-    monkeypatch.setattr(packing, "BATCH_BYTES", 300)
-    own, tok, texts = packing.Tokens(bpe.read_spec(WORD)), library(WORD), strange(3000, 3) + ["Don't STOP ertzge,&&&\x0bx" * 5, "y" * 999]
-    assert list(own.encode(texts)) == [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+@pytest.mark.parametrize("known", [True, False])
+def test_word_ids_equal_the_library(monkeypatch, known):
+    monkeypatch.setattr(words, "CHUNK_BYTES", 300)
+    monkeypatch.setattr(words, "LOOK_UP_WORDS", 7)
+    own, tok = words.Tokens(bpe.read_spec(WORD)), library(WORD)
+    if not known:
+        own.merges = None  # as for a vocabulary with another split: the library alone
+    texts = [*strange(3000, 3), "Don't STOP ertzge,&&&\x0bx" * 5, "y" * 999, None, "", "ÀÉÞß×÷ÿ ÀÉ'S ab12cd <|endoftext|>x", " \t\n"]
+    found = [ids[a:b].tolist() for ids, bounds in own.encode(pa.array(texts)) for a, b in zip(bounds, bounds[1:], strict=False)]
+    assert found == [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert list(own.encode(pa.array([], pa.string()))) == []
+
+
+def test_word_ids_of_slices_and_bytes_that_are_no_text():
+    own, tok = words.Tokens(bpe.read_spec(WORD)), library(WORD)
+    whole = pa.array(["one two", "drei ß vier", None, "x" * 70, "five"])
+    (ids, bounds), = own.encode(whole.slice(1, 3))
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:], strict=False)] == [tok.encode(t or "", add_special_tokens=False).ids for t in whole.slice(1, 3).to_pylist()]
+    broken = [b"ab\xc3 \x97x", b"\xff\xfe a", b"\xc3"]
+    (ids, bounds), = own.encode(pa.array(broken))
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:], strict=False)] == [tok.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids for t in broken]
 
 
 def brute_best(lengths, counts, room):
