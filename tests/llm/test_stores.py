@@ -7,7 +7,7 @@ import pytest
 import zstandard
 from pyspark.sql.types import ArrayType, FloatType, LongType, StringType, StructField, StructType
 
-from stratalens.llm import ann, sharding, warc
+from stratalens.llm import ann, shared, sharding, warc
 
 from .conftest import ODD, clashing
 
@@ -63,8 +63,10 @@ def test_broken_archives_are_reported():
     assert isinstance(next(warc.records(bytes(flipped))), warc.Invalid)
 
 
-@pytest.mark.parametrize("limit", [60, 1000, 10**9])
-def test_shards_split_only_where_too_large(spark, docs, limit):
+@pytest.mark.parametrize(("limit", "broadcast"), [(60, True), (1000, True), (10**9, True), (60, False), (1000, False)])
+def test_shards_split_only_where_too_large(spark, docs, monkeypatch, limit, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(shared, "BROADCAST_BYTES", -1)
     rows = [*ODD, *((100 + i, "x" * (i * 7 % 90)) for i in range(300)), *[(5000, "again")] * 40]
     hashes = [tuple(r) for r in sharding.hashed(docs(rows)).collect()]
     found = sharding.assign(clashing(docs(rows)), limit).collect()
@@ -108,11 +110,10 @@ def brute_nearest(rows, k):
 
 def search(spark, rows, **parameters):
     df = spark.createDataFrame([(i, v, 1) for i, v in rows], VECTORS)
-    own, index = ann.build(df, **parameters)
+    index = ann.build(clashing(df), **parameters)
     out = defaultdict(list)
-    if index is not None:
-        for r in sorted(ann.search(index, own.where("vec_id % 20 = 0"), block_queries=8).collect(), key=lambda r: (r.query_id, r.rank)):
-            out[r.query_id].append((r.vec_id, r.score))
+    for r in sorted(ann.search(index, index.rows.where("vec_id % 20 = 0"), block_queries=8).collect(), key=lambda r: (r.query_id, r.rank)):
+        out[r.query_id].append((r.vec_id, r.score))
     return out
 
 
@@ -150,3 +151,41 @@ def test_every_node_is_reached():
     while front:
         front = [x for y in front for x in graph[y].tolist() if x >= 0 and x not in seen and not seen.add(x)]
     assert len(seen) == len(points)
+
+
+def norms_of(kind, n, rng):
+    """Factors of directions: alike, log-normal, spread by ten."""
+    return {"unit": np.ones(n), "log": np.exp(0.3 * rng.normal(size=n)), "wide": np.exp(rng.normal(size=n)), "ten": rng.uniform(1, 10, n)}[kind]
+
+
+@pytest.mark.parametrize("kind", ["unit", "log", "wide", "ten"])
+def test_recall_where_norms_vary(kind):
+    rng = np.random.default_rng(4)
+    n, k = 4000, 20
+    vectors = rng.normal(size=(n, 64))
+    vectors *= (norms_of(kind, n, rng) / np.linalg.norm(vectors, axis=1))[:, None]
+    own = np.arange(0, n, 20)
+    found = ann.search_shard(vectors, [np.array([i]) for i in range(n)], ann.index_shard(vectors), own, vectors[own], k)
+    scores = vectors @ vectors[own].T
+    scores[own, np.arange(len(own))] = -np.inf
+    want = np.argsort(-scores, axis=0)[:k].T
+    got = defaultdict(set)
+    for q, i, s in found:
+        got[q].add(i)
+        assert abs(s - vectors[q] @ vectors[i]) < 1e-9
+    assert np.mean([len(got[q] & set(w.tolist())) / k for q, w in zip(own.tolist(), want, strict=True)]) >= 0.97
+
+
+def test_other_dimensions_repeated_ids_and_more_neighbours(spark):
+    rng = np.random.default_rng(6)
+    vector = lambda d: [float(np.float32(x)) for x in rng.normal(size=d)]
+    rows = [*((i, vector(4)) for i in range(1, 60)), *((100 + i, vector(3)) for i in range(40)), (7, vector(4)), (120, [1e30, 0.0, 0.0])]
+    found = search(spark, rows, shard_rows=16)
+    for q in (20, 40, 100, 120):
+        own = min(v for i, v in rows if i == q and v)
+        scored = sorted((-float(np.dot(v, own)), i) for i, v in rows if i != q and len(v) == len(own))[:20]
+        assert [i for i, _ in found[q]] == [i for _, i in scored]
+    index = ann.build(spark.createDataFrame([(i, v, 1) for i, v in rows], VECTORS), k=30)
+    assert ann.search(index, index.rows.where("vec_id = 20"), k=30).count() == 30
+    with pytest.raises(ValueError, match="30"):
+        ann.search(index, index.rows, k=31)
