@@ -3,7 +3,9 @@
 A row's hash selects its bucket by leading bits.  Only a bucket beyond the byte limit splits, on one more bit,
 until each fits.  The sums of all prefixes come from one histogram of fine prefixes, so that a round looks at
 many splits at once; rows of buckets that are still too large at its depth go to the next, deeper round.  The
-directory is a table from prefixes to buckets; it grows with the number of shards and is joined, not collected.
+directory is a table of buckets; it grows with the number of shards.  While it may be broadcast, rows try the depths
+that occur; beyond, it is spread out over the fine prefixes that occur, which rows join under salts, so that a
+prefix with very many rows is nobody's single task.
 
 A bucket whose rows all have one hash (rows that are repeated, or a single row beyond the limit) cannot split;
 its rows are counted off into overflow pages under the limit, one row at least in each.
@@ -42,45 +44,61 @@ def hashed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64(F.col("doc_id").cast("string"), text).alias("hash"), (F.octet_length(text) + ROW_BYTES).cast("long").alias("bytes"))
 
 
-def directory(rows: DataFrame, limit: int, above: int, depth: int) -> DataFrame:
-    """Buckets (depth, bucket, shard_bytes, one_hash) of depths above+1 to `depth` that fit, or cannot split, or are left to the next round (fits false)."""
-    fine = rows.groupBy(prefix(depth).alias("fine")).agg(F.sum("bytes").alias("sum"), F.min("hash").alias("low"), F.max("hash").alias("high"))
-    # cut the fine prefix back to every shallower depth
-    levels = fine.withColumn("depth", F.explode(F.sequence(F.lit(above), F.lit(depth)))).withColumn("bucket", F.call_function("shiftrightunsigned", "fine", (F.lit(depth) - F.col("depth")).cast("int")) if depth < 64 else F.when(F.col("depth") == 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftrightunsigned", "fine", (F.lit(64) - F.col("depth")).cast("int"))))
+def _cut(levels: DataFrame, depth: int) -> DataFrame:
+    """Fine prefixes of `depth` bits with column depth -> their bucket at that depth."""
+    back = F.call_function("shiftrightunsigned", "fine", (F.lit(depth) - F.col("depth")).cast("int"))
+    return levels.withColumn("bucket", F.when(F.col("depth") == 0, F.lit(0).cast("long")).otherwise(back))
+
+
+def histogram(rows: DataFrame, depth: int) -> DataFrame:
+    """Sums by fine prefix, with the least and the largest hash."""
+    return rows.groupBy(prefix(depth).alias("fine")).agg(F.sum("bytes").alias("sum"), F.min("hash").alias("low"), F.max("hash").alias("high"))
+
+
+def directory(fine: DataFrame, limit: int, above: int, depth: int) -> DataFrame:
+    """Buckets (depth, bucket, shard_bytes, one_hash, stops) of depths above to `depth` that fit or cannot split, or are left to the next round (stops false)."""
+    levels = _cut(fine.withColumn("depth", F.explode(F.sequence(F.lit(above), F.lit(depth)))), depth)
     nodes = levels.groupBy("depth", "bucket").agg(F.sum("sum").alias("shard_bytes"), F.min("low").alias("low"), F.max("high").alias("high"))
     nodes = nodes.select("depth", "bucket", "shard_bytes", (F.col("low") == F.col("high")).alias("one_hash")).withColumn("stops", (F.col("shard_bytes") <= limit) | F.col("one_hash"))
     nodes = shared.stored(nodes, "buckets")
-    inner = nodes.where("not stops").select((F.col("depth") + 1).alias("depth"), "bucket")
-    children = nodes.withColumn("parent", F.floor(F.col("bucket") / 2).cast("long")) if depth < 64 else nodes.withColumn("parent", F.call_function("shiftrightunsigned", "bucket", F.lit(1)))
-    child = children.join(inner.select(F.col("depth"), F.col("bucket").alias("parent")), ["depth", "parent"], "left_semi").select("depth", "bucket", "shard_bytes", "one_hash", "stops")
-    first = nodes.where(F.col("depth") == above)
-    return child.unionByName(first.select(*child.columns)).where(F.col("stops") | (F.col("depth") == depth))
+    inner = nodes.where("not stops").select((F.col("depth") + 1).alias("depth"), F.col("bucket").alias("parent"))
+    children = nodes.withColumn("parent", F.call_function("shiftrightunsigned", "bucket", F.lit(1)))
+    child = children.join(inner, ["depth", "parent"], "left_semi").drop("parent")
+    return child.unionByName(nodes.where(F.col("depth") == above)).where(F.col("stops") | (F.col("depth") == depth))
+
+
+def _met(rows: DataFrame, fine: DataFrame, found: DataFrame, depth: int) -> DataFrame:
+    """Each row with its bucket."""
+    if shared.fits(found, 64):
+        depths = sorted(r["depth"] for r in found.select("depth").distinct().collect())  # at most 65 numbers
+        tried = rows.withColumn("try", F.explode(F.array(*map(F.lit, depths)))).withColumn("at", prefix(F.col("try")))
+        return tried.join(F.broadcast(found), (F.col("try") == F.col("depth")) & (F.col("at") == F.col("bucket")))
+    depths = F.array(*(F.lit(d) for d in range(depth + 1)))
+    leads = _cut(fine.select("fine", F.explode(depths).alias("depth")), depth).join(found, ["depth", "bucket"])
+    return shared.spread_join(rows.withColumn("fine", prefix(depth)), shared.stored(leads, "prefixes"), ["fine"], "salt")
 
 
 def assign(docs: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
     """One row per input row: doc_id, bytes, depth, bucket, page, shard (bits of the prefix, then the page), shard_bytes."""
-    left = shared.stored(hashed(docs), "hashes")
-    total = left.agg(F.sum("bytes").alias("n")).first()["n"] or 0
+    salts = shared.shuffle_partitions(docs.sparkSession)
+    left = shared.stored(hashed(docs).withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")), "hashes")
+    total = left.agg(F.sum("bytes").alias("n")).first()["n"]
+    if total is None:
+        return left.select("doc_id", "bytes", F.lit(0).alias("depth"), F.lit(0).cast("long").alias("bucket"), F.lit(0).cast("long").alias("page"), F.lit("").alias("shard"), F.lit(0).cast("long").alias("shard_bytes"))
     above, out = 0, None
     while True:
         depth = min(MOST_BITS, max(above + 1, ceil(log2(max(1.0, total / limit))) + SLACK_BITS))
-        found = shared.stored(directory(left, limit, above, depth), "directory")
-        # the directory proper: every fine prefix under a bucket leads to it; rows try the depths that occur
-        depths = sorted(r["depth"] for r in found.select("depth").distinct().collect())  # at most 65 numbers
-        rows = left.withColumn("try", F.explode(F.array(*map(F.lit, depths)))).withColumn("at", prefix(F.col("try"))) if depths else None
-        if rows is None:
-            break
-        met = rows.join(found, (F.col("try") == F.col("depth")) & (F.col("at") == F.col("bucket"))).select("doc_id", "hash", "bytes", "depth", "bucket", "shard_bytes", "one_hash", "stops")
+        fine = shared.stored(histogram(left, depth), "histogram")
+        found = shared.stored(directory(fine, limit, above, depth), "directory")
+        met = _met(left, fine, found, depth).select("doc_id", "hash", "bytes", "salt", "depth", "bucket", "shard_bytes", "one_hash", "stops")
         met = shared.stored(met, "assigned")
         done = met.where("stops")
         out = done if out is None else out.unionByName(done)
-        rest = met.where("not stops").select("doc_id", "hash", "bytes")
+        rest = met.where("not stops").select("doc_id", "hash", "bytes", "salt")
         if depth == MOST_BITS or rest.isEmpty():
             break
         left, above = rest, depth
         total = limit * 2.0 ** (depth - SLACK_BITS + 8)
-    if out is None:
-        return left.select("doc_id", "bytes", F.lit(0).alias("depth"), F.lit(0).cast("long").alias("bucket"), F.lit(0).cast("long").alias("page"), F.lit("").alias("shard"), F.lit(0).cast("long").alias("shard_bytes"))
     return paged(out, limit).select("doc_id", "bytes", "depth", "bucket", "page", shard_name().alias("shard"), "shard_bytes")
 
 
@@ -88,8 +106,6 @@ def paged(rows: DataFrame, limit: int) -> DataFrame:
     """Buckets that cannot split are cut into overflow pages; all others are page 0."""
     fits = rows.where(F.col("shard_bytes") <= limit).withColumn("page", F.lit(0).cast("long"))
     over = rows.where(F.col("shard_bytes") > limit)
-    salts = shared.shuffle_partitions(rows.sparkSession)
-    over = over.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
     over = shared.stored(over, "overflow")
     counts = over.groupBy("depth", "bucket", "salt").agg(F.count("*").alias("n"))
     ahead = F.coalesce(F.sum("n").over(Window.partitionBy("depth", "bucket").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

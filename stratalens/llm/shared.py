@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,9 +14,11 @@ BROADCAST_BYTES = 32 << 20
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The shared folder: spark.checkpoint.dir.  Where that is unset, a temporary one if all tasks run in this process' JVM (tests), else an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="stratalens-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -41,9 +44,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Mark a stored table for broadcast if its counted rows fit the limit; else leave it to a shuffle join."""
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+def fits(df: DataFrame, row_bytes: int) -> bool:
+    """Whether a stored table, by its counted rows, may be broadcast."""
+    return df.count() * row_bytes <= BROADCAST_BYTES
+
+
+def small(df: DataFrame, row_bytes: int) -> DataFrame:
+    """Mark a stored table for broadcast if it fits; else leave it to a shuffle join."""
+    return F.broadcast(df) if fits(df, row_bytes) else df
 
 
 def bucket_of(column: str, buckets: int) -> Column:
