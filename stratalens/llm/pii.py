@@ -8,7 +8,9 @@ mapped span counts unless a plain one of its kind covers it.  Runs that mix numb
 "dot" have a second normal form, since a number beside a spelled one may or may not belong to it.  Texts that
 no transducer would change are not searched again.
 
-A bare "at" counts only if a dot of its domain is disguised too: "look at example.com" is prose.
+A bare "at" counts only if a dot of its domain is disguised too: "look at example.com" is prose.  A domain with a bare
+word for "dot" must end in a known top-level label and must not begin with an article or the like; after a bare
+"at" that word must be "dot" itself: "look at this point in time" is prose as well.
 
 Every detector is linear in the text.  Offsets are code points, ends exclusive.  Defined cases: a null text is an
 empty one without spans (and stays null when masked).
@@ -56,16 +58,20 @@ NUMBERS = (
 )
 NUMBER_OF = {word: str(i) for i, words in enumerate(NUMBERS) for word in words.split()}
 AT_WORDS, DOT_WORDS, PLUS_WORDS = "at", "dot|punkt|punto|point", "plus|más|mas"
+# Last labels of a domain that are no common word of prose, and words before "dot" that are no label.
+TOP_LABELS = frozenset("com org net edu gov mil info biz int dev app xyz uk eu de fr es ch nl pl ru jp cn ca au br mx pt se dk fi cz gr ie nz kr ar cl".split())
+NO_LABELS = frozenset("the a an this that these those his her its our your my their every each some any no one what which der die das dem den ein eine le la les un une el los las una".split())
 
 _NUMBER = "|".join(sorted(NUMBER_OF, key=len, reverse=True))
 #: Characters that a transducer may change.
 STRANGE = re.compile("[^\x00-\x7f¡-©«¬®-±´-¶¸»-ÿ]")
-BRACKETED = re.compile(rf"[ \t]*[(\[{{<][ \t]*(?:(?P<at>{AT_WORDS}|@)|{DOT_WORDS}|\.)[ \t]*[)\]}}>][ \t]*", re.I)
+BRACKETED = re.compile(rf"[(\[{{<][ \t]*+(?:(?P<at>{AT_WORDS}|@)|{DOT_WORDS}|\.)[ \t]*+[)\]}}>][ \t]*+", re.I)
 BARE = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}+(?P<at> (?:{AT_WORDS}) |@)[A-Za-z0-9-]++(?:(?: (?:{DOT_WORDS}) |\.)[A-Za-z0-9-]++)++", re.I)
 BARE_DOT = re.compile(rf" (?:{DOT_WORDS}) ", re.I)
 SPELLED = re.compile(rf"(?<!\w)(?:(?:{PLUS_WORDS}|\+)[ \t]*)?(?:{_NUMBER})(?:[ \t.,-]{{1,3}}(?:{_NUMBER}|{DOT_WORDS}|[0-9]+)(?!\w)){{3,}}", re.I)
 #: Number words, digits and words for "dot" in any order.
 MIXED = re.compile(rf"(?:(?<!\w)(?:{PLUS_WORDS})[ \t]{{0,3}}|\+[ \t]{{0,3}})?(?:(?<![0-9])[0-9]++|(?<!\w)(?:{_NUMBER})(?![^\W\d]))(?:[ \t.,()-]{{0,4}}(?:[0-9]++|(?:{_NUMBER}|{DOT_WORDS})(?![^\W\d])))++", re.I)
+LABEL = re.compile("[A-Za-z0-9-]+")
 LETTER = re.compile(r"[^\W\d]")
 PART = re.compile(rf"(?P<number>{_NUMBER})|(?P<dot>{DOT_WORDS})|(?P<plus>{PLUS_WORDS}|\+)|(?P<digits>[0-9]+)|(?P<gap>[ \t.,()-]+)", re.I)
 
@@ -200,7 +206,16 @@ def deobfuscated(text: str) -> list[Traced]:
 
 
 def _brackets(text: str, source: str, traced: Traced | None) -> list[tuple[int, int, str]]:
-    return [(m.start(), m.end(), "@" if m["at"] else ".") for m in BRACKETED.finditer(text)] if re.search(r"[(\[{<]", text) else []
+    """Bracketed words for "at" and "dot", with the blanks around them."""
+    out: list[tuple[int, int, str]] = []
+    end = 0
+    for m in BRACKETED.finditer(text):
+        start = m.start()
+        while start > end and text[start - 1] in " \t":
+            start -= 1
+        end = m.end()
+        out.append((start, end, "@" if m["at"] else "."))
+    return out
 
 
 def _bare(text: str, source: str, traced: Traced | None) -> list[tuple[int, int, str]]:
@@ -208,10 +223,18 @@ def _bare(text: str, source: str, traced: Traced | None) -> list[tuple[int, int,
         return []
     out = []
     for m in BARE.finditer(text):
-        dots = [(x.start(), x.end(), ".") for x in BARE_DOT.finditer(text, m.end("at"), m.end())]
-        if m["at"] != "@" and (dots or traced and any(text[i] == "." and source[traced.starts[i] : traced.ends[i]] != "." for i in range(m.end("at"), m.end()))):
+        bare = m["at"] != "@"
+        start, end = m.end("at"), m.end()
+        dots = list(BARE_DOT.finditer(text, start, end))
+        if dots:  # the domain ends with the last label that can end one
+            end = max((x.end() for x in LABEL.finditer(text, dots[0].end(), end) if x.group().lower() in TOP_LABELS), default=0)
+            dots = [x for x in dots if x.end() < end]
+            prose = LABEL.match(text, start)
+            if not dots or prose and prose.group().lower() in NO_LABELS or bare and any(x.group().strip().lower() != "dot" for x in dots):
+                continue
+        if bare and (dots or traced and any(text[i] == "." and source[traced.starts[i] : traced.ends[i]] != "." for i in range(start, end))):
             out.append((m.start("at"), m.end("at"), "@"))
-        out += dots
+        out += [(x.start(), x.end(), ".") for x in dots]
     return out
 
 
