@@ -51,8 +51,8 @@ def keyed(docs: DataFrame, memtables: int, digest: Callable[[Column], Column]) -
 
 
 def flush(docs: DataFrame, memtables: int, digest: Callable[[Column], Column] = sha256) -> DataFrame:
-    """Sorted runs with filters.  All rows of a run go to one task; a hot text is spread over all runs."""
-    runs = keyed(docs, memtables, digest).select("run", "digest", "doc_id").repartition(memtables, "run")
+    """Sorted runs with filters.  Each run is one task's file, and that task has no other; a hot text is spread over all runs."""
+    runs = keyed(docs, memtables, digest).select("run", "digest", "doc_id").repartitionById(memtables, F.col("run"))
     entries = runs.groupBy("run", "digest", "doc_id").agg(F.count("*").alias("copies")).sortWithinPartitions("run", "digest", "doc_id")
     return shared.stored(entries, "runs", **{"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.expected.ndv#digest": str(MEMTABLE_ROWS)})
 

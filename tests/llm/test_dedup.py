@@ -151,3 +151,9 @@ def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "x long, y long")).collect()}
     assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 130), 100)}
+
+
+def test_a_run_is_one_file(spark, docs):
+    entries = exact_dedup.flush(docs([(i, f"text {i % 50}") for i in range(300)]), 7)
+    per_file = entries.groupBy(F.input_file_name().alias("file")).agg(F.countDistinct("run").alias("runs")).collect()
+    assert [r.runs for r in per_file] == [1] * 7 and entries.select("run").distinct().count() == 7
