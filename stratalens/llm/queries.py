@@ -7,16 +7,11 @@ from pyspark.sql import functions as F
 
 from . import ann, bpe, exact_dedup, packing, pii, quality, sharding, shared, simhash, toxicity, warc
 
-#: Where the public tokenizers' files are, unless their package is installed.
-TOKENIZERS = "/opt/tokenizers"
-
 
 def vocabulary(name: str) -> str:
     """Path of a vocabulary file."""
-    try:
-        import public_tokenizers
-    except ModuleNotFoundError:
-        return f"{TOKENIZERS}/{name}"
+    import public_tokenizers
+
     return str(public_tokenizers.path(name))
 
 
@@ -34,7 +29,8 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared.work_path(spark, "archives")
     warc.write(pages, path)
     read = warc.read(spark, path, pages.schema["page_id"].dataType.simpleString(), payloads=False)
-    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
+    invalid = F.when(F.col("error").isNotNull(), F.raise_error(F.concat(F.lit("invalid record: "), "error")).cast("string"))  # ours must all be valid
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", invalid.alias("error"))
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,10 +65,8 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, index = ann.build(table(spark, sf_dir, "embeddings"))
-    if index is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    return ann.search(index, rows.where("vec_id % 20 = 0"))
+    index = ann.build(table(spark, sf_dir, "embeddings"))
+    return ann.search(index, index.rows.where("vec_id % 20 = 0"))
 
 
 QUERIES = {
