@@ -175,3 +175,71 @@ def transformation_groups(flows: DataFrame, least: int = 3) -> DataFrame:
 
 def path_confidence(flow_confidences: Column, node_count: Column) -> Column:
     return scores.path_confidence(flow_confidences, node_count)
+
+
+# Verbs before the data in a name; signs of what a call does to data; verbs that give and that take data.
+DATA_VERBS = ("get", "set", "update", "fetch", "save", "load", "store", "retrieve")
+CALL_TRANSFORMATIONS = (("map", r"\.map\s*\("), ("filter", r"\.filter\s*\("), ("reduce", r"\.reduce\s*\("), ("transform", "transform|convert"), ("format", "format|stringify|parse"), ("sort", r"\.sort\s*\(|sort|order"), ("aggregate", "aggregate|group|combine"))
+GIVING = ("get", "fetch", "load", "read", "source", "provider")
+TAKING = ("set", "put", "update", "save", "store", "write", "sink", "target")
+
+
+def data_terms(name: Column) -> Column:
+    """Words of a name without its leading verb, and the whole name."""
+    rest = first_of([(F.startswith(name, F.lit(v)), F.substring(name, len(v) + 1, 1000)) for v in DATA_VERBS], name)
+    parts = F.split(F.lower(F.replace(F.regexp_replace(rest, "([a-z])([A-Z])", "$1 $2"), F.lit("_"), F.lit(" "))), " ")
+    return F.concat(F.filter(parts, lambda x: x != ""), F.array(name))
+
+
+def call_transformations(context: Column) -> Column:
+    """What a call's text says it does to data."""
+    low = F.lower(context)
+    return F.filter(F.array(*[F.when(low.rlike(p), name) for name, p in CALL_TRANSFORMATIONS]), lambda x: x.isNotNull())
+
+
+def node_confidence(matched: Column, named: Column) -> Column:
+    """.7, .15 more with a matching pattern, .1 more with a telling name; .95 at most."""
+    return F.least(F.lit(0.95), 0.7 + 0.15 * matched.cast("int") + 0.1 * named.cast("int"))
+
+
+def relationship_rows(flows: DataFrame, existing: DataFrame) -> DataFrame:
+    """Flows as edges of the model: one for each (source, target, type), unless the edge is there already."""
+    new = flows.groupBy("source_id", "target_id", "type").agg(F.max("confidence").alias("confidence"))
+    return new.join(existing.select("source_id", "target_id", "type").distinct(), ["source_id", "target_id", "type"], "left_anti")
+
+
+def conceptual_flows(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """source_id, target_id, evidence between members (unit, id, name, start_line) of one unit that share a term or an edge or a target.
+
+    Direction: an edge's own, else from a giving to a taking verb, else by line, then id.  Pairs come from the evidence alone, never from
+    the unit's members as such.
+    """
+    both = lambda s: members.select("unit", F.col("id").alias(f"id_{s}"), F.col("name").alias(f"name_{s}"), F.col("start_line").alias(f"line_{s}"))
+    terms = members.select("unit", "id", F.explode(F.array_distinct(data_terms(F.lower("name")))).alias("term")).where(F.length("term") >= 3)
+    x, y = terms.select("unit", "term", F.col("id").alias("id_a")), terms.select("unit", "term", F.col("id").alias("id_b"))
+    by_term = x.join(y, ["unit", "term"]).where("id_a < id_b").select("unit", "id_a", "id_b", F.lit("term").alias("evidence"))
+    own = edges.select("source_id", "target_id").distinct()
+    by_edge = own.where("source_id <> target_id").select(F.least("source_id", "target_id").alias("id_a"), F.greatest("source_id", "target_id").alias("id_b"))
+    in_unit = members.select("unit", F.col("id").alias("id_a")), members.select("unit", F.col("id").alias("id_b"))
+    by_edge = by_edge.join(in_unit[0], "id_a").join(in_unit[1], ["unit", "id_b"]).select("unit", "id_a", "id_b", F.lit("edge").alias("evidence"))
+    to = own.join(members.select("unit", F.col("id").alias("source_id")), "source_id")
+    p, q = to.select("unit", "target_id", F.col("source_id").alias("id_a")), to.select("unit", "target_id", F.col("source_id").alias("id_b"))
+    by_target = p.join(q, ["unit", "target_id"]).where("id_a < id_b").select("unit", "id_a", "id_b", F.lit("target").alias("evidence"))
+    pairs = by_term.unionByName(by_edge).unionByName(by_target).groupBy("unit", "id_a", "id_b").agg(F.array_join(F.array_sort(F.collect_set("evidence")), ",").alias("evidence"))
+    pairs = pairs.join(both("a"), ["unit", "id_a"]).join(both("b"), ["unit", "id_b"])
+    forth = own.select(F.col("source_id").alias("id_a"), F.col("target_id").alias("id_b"), F.lit(True).alias("forth"))
+    back = own.select(F.col("target_id").alias("id_a"), F.col("source_id").alias("id_b"), F.lit(True).alias("back"))
+    pairs = pairs.join(forth, ["id_a", "id_b"], "left").join(back, ["id_a", "id_b"], "left")
+    gives, takes = (lambda s: any_contains(F.lower(f"name_{s}"), GIVING)), (lambda s: any_contains(F.lower(f"name_{s}"), TAKING))
+    straight = first_of([(F.col("forth").isNotNull(), F.lit(True)), (F.col("back").isNotNull(), F.lit(False)), (gives("a") & takes("b"), F.lit(True)), (gives("b") & takes("a"), F.lit(False))], F.col("line_a") <= F.col("line_b"))
+    pairs = pairs.withColumn("straight", straight)
+    return pairs.select(F.when(F.col("straight"), F.col("id_a")).otherwise(F.col("id_b")).alias("source_id"), F.when(F.col("straight"), F.col("id_b")).otherwise(F.col("id_a")).alias("target_id"), "unit", "evidence", F.lit(0.6).alias("confidence"))
+
+
+def named_paths(found: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Paths (nodes, entry, exit) with their name and description.  nodes: node_id, name, role."""
+    a, b = nodes.select(F.col("node_id").alias("entry"), F.col("name").alias("na"), F.col("role").alias("ra")), nodes.select(F.col("node_id").alias("exit"), F.col("name").alias("nb"), F.col("role").alias("rb"))
+    steps = F.size("nodes") - 2
+    through = F.when(steps > 0, F.concat(F.lit(" through "), steps.cast("string"), F.lit(" intermediate steps"))).otherwise("")
+    full = F.concat(F.lit("Data flows from "), "na", F.lit(" ("), "ra", F.lit(") to "), "nb", F.lit(" ("), "rb", F.lit(")"), through)
+    return found.join(a, "entry").join(b, "exit").select("nodes", "entry", "exit", F.concat("na", F.lit(" to "), "nb").alias("name"), full.alias("description"))

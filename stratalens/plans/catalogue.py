@@ -2,31 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hashes, names, paths, scores, text, vectors
 from ..operators import aggregates, clustering, dataflow, dependencies, diff, relationships, search
+from .registry import ORACLES, QUERIES, query  # noqa: F401
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 FLAGSHIP = "vector_topk"
 
 
-def query(sql: str | None = None):
-    """Register a function of tables: it gets a reader t(name)."""
-
-    def add(f: Callable) -> Callable:
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
 def first_vector(t, key: int = 0) -> list[float]:
     return t("embeddings").where(F.col("vec_id") == key).select("embedding").first()["embedding"]
 
@@ -552,3 +536,6 @@ def vector_norms(t):
 @query("SELECT source, round(sum(length(text) * 0.25::DOUBLE), 6) AS tokens FROM documents GROUP BY source")
 def token_estimates(t):
     return t("documents").groupBy("source").agg(F.round(F.sum(scores.token_estimate(F.col("text"))), 6).alias("tokens"))
+
+
+from . import catalogue_code  # noqa: E402, F401  (registers its queries)

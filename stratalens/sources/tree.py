@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +49,27 @@ def scan(spark: SparkSession, root: str, exclude: list[str] | None = None, max_d
     return rows if max_depth is None else rows.where(F.col("depth") <= max_depth)
 
 
+def listed(files: DataFrame, include_extensions: tuple[str, ...] = (), include_patterns: tuple[str, ...] = (), exclude_extensions: tuple[str, ...] = (), exclude_patterns: tuple[str, ...] = (), include: Column | None = None) -> DataFrame:
+    """The files that pass a filter on path and extension.
+
+    `include` takes the place of the included extensions and patterns; exclusions always hold.  A file below a directory whose
+    own path fails the exclusion patterns is left out, as is one below a directory that no included pattern matches.
+    """
+    path, parts = F.col("path"), F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+    fits = lambda p, patterns: reduce(lambda a, b: a | b, [p.rlike(x) for x in patterns], F.lit(False))
+    keep = F.lit(True) if include is None else include
+    if include is None and include_extensions:
+        keep &= F.col("extension").isin(*include_extensions)
+    if include is None and include_patterns:
+        keep &= F.forall(above, lambda p: fits(p, include_patterns))
+    if exclude_extensions:
+        keep &= ~F.col("extension").isin(*exclude_extensions)
+    if exclude_patterns:
+        keep &= ~F.exists(above, lambda p: fits(p, exclude_patterns))
+    return files.where(keep & path.isNotNull())
+
+
 def _quoted(text: str) -> str:
     import re
 
