@@ -7,13 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import hashes
-from ..operators import dataflow, dependencies, diff, patterns, relationships, semantics
+from ..functions import hashes, names, paths
+from ..operators import clustering, dataflow, dependencies, diff, patterns, relationships, semantics, units
 from ..sources import tree
 
 
-def analyse(files: DataFrame, keep: Callable[[str, DataFrame], DataFrame] = lambda name, df: df) -> dict[str, DataFrame]:
-    """All tables of the model from files (see tree.scan).  `keep` may store a table; what follows then reads the stored one."""
+def analyse(files: DataFrame, keep: Callable[[str, DataFrame], DataFrame] = lambda name, df: df, nodes: DataFrame | None = None) -> dict[str, DataFrame]:
+    """All tables of the model from files (see tree.scan).  `keep` may store a table; what follows then reads the stored one.
+
+    nodes: the code nodes, where they are known already.
+    """
     out: dict[str, DataFrame] = {}
 
     def put(name: str, df: DataFrame) -> DataFrame:
@@ -23,7 +26,7 @@ def analyse(files: DataFrame, keep: Callable[[str, DataFrame], DataFrame] = lamb
     files = put("files", files)
     put("directories", tree.directories(files))
     put("languages", tree.languages(files))
-    nodes = put("code_nodes", tree.code_nodes(files))
+    nodes = put("code_nodes", tree.code_nodes(files) if nodes is None else nodes)
     imports = put("imports", relationships.resolve_imports(relationships.imports(files), files))
     put("exports", relationships.exports(files))
     named = nodes.where("type IN ('class', 'interface')").select(F.col("name").alias("base"), F.col("id").alias("definition"))
@@ -33,10 +36,11 @@ def analyse(files: DataFrame, keep: Callable[[str, DataFrame], DataFrame] = lamb
     edges = edges.unionByName(relationships.import_edges(imports))
     edges = edges.unionByName(inherits.select(F.col("kind").alias("type"), F.col("child_id").alias("source_id"), "target_id", F.lit(0.8).alias("weight"), "confidence"))
     edges = edges.unionByName(relationships.similar_files(stems, ["pattern", "extension"], "path"))
-    put("relationships", edges.withColumn("id", hashes.edge_hash(F.col("type"), F.col("source_id"), F.col("target_id"), F.col("weight"))))
+    edges = put("relationships", edges.withColumn("id", hashes.edge_hash(F.col("type"), F.col("source_id"), F.col("target_id"), F.col("weight"))))
     found = put("patterns", patterns.discover(nodes.where("type <> 'module'"), files))
-    put("concepts", semantics.concepts(nodes))
-    put("semantic_units", semantics.pattern_units(found))
+    concepts = put("concepts", semantics.concepts(nodes))
+    put("semantic_units", semantics.pattern_units(found).unionByName(_units(nodes, concepts, edges)))
+    put("clusters", _clusters(nodes))
     rolled = dependencies.roll_up(imports.withColumnRenamed("path", "file"), "module", "file")
     put("dependencies", rolled.withColumn("type", dependencies.dependency_type(F.col("module"), (), ())))
     calls = call_edges(nodes)
@@ -46,9 +50,30 @@ def analyse(files: DataFrame, keep: Callable[[str, DataFrame], DataFrame] = lamb
     return out
 
 
-def _pattern():
-    from ..functions import names, paths
+def _units(nodes: DataFrame, concepts: DataFrame, edges: DataFrame) -> DataFrame:
+    """Units of concepts, directories and densely linked components: type, name, confidence, cohesion."""
+    own = nodes.where("type <> 'module'").select(F.col("id").alias("node_id"), "name", paths.dirname(F.col("path")).alias("directory"))
+    best = concepts.groupBy("name").agg(F.max("confidence").alias("confidence"))
+    members = own.withColumn("concept", F.explode(F.array_distinct(names.words(F.col("name"))))).join(best.select(F.col("name").alias("concept")), "concept", "left_semi")
+    links = edges.where("type <> 'contains'").select("source_id", "target_id")
+    out = semantics.concept_units(best, semantics.coherence(members, links))
+    placed = own.select("directory", F.col("node_id").alias("id"), "name")
+    found = units.directory_units(placed, members.select(F.col("node_id").alias("id"), "concept"), links, "directory")
+    out = out.unionByName(found.select(F.lit("directory").alias("type"), F.col("directory").alias("name"), "confidence", F.col("coherence").alias("cohesion")))
+    pairs = links.join(own.select(F.col("node_id").alias("source_id")), "source_id", "left_semi").join(own.select(F.col("node_id").alias("target_id")), "target_id", "left_semi")
+    groups = clustering.dense_groups(pairs.where("source_id <> target_id").select(F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b")))
+    titled = units.group_name(groups.join(own, groups["node"] == own["node_id"]).select("group", "name"), "group")
+    return out.unionByName(titled.select(F.lit("component").alias("type"), F.col("title").alias("name"), F.lit(0.75).alias("confidence"), F.lit(0.8).alias("cohesion")))
+
+
+def _clusters(nodes: DataFrame, least: float = 0.6) -> DataFrame:
+    """cluster, node: nodes of one type and directory that similar names connect; a lone node is in none."""
+    own = nodes.where("type <> 'module'").select("id", "name", F.concat_ws("/", "type", paths.dirname(F.col("path"))).alias("block"))
+    found = clustering.components(clustering.blocked_pairs(own, ["block"], "id", "name", clustering.naming_similarity, least))
+    return found.select(F.col("root").alias("cluster"), "node")
+
 
+def _pattern():
     return names.file_pattern(paths.stem(F.col("path")))
 
 
@@ -75,13 +100,43 @@ def full(spark: SparkSession, root: str, out: str, exclude: list[str] | None = N
 
 
 def incremental(spark: SparkSession, root: str, old: str, out: str, exclude: list[str] | None = None, max_depth: int | None = 5) -> tuple[DataFrame, list[str], dict[str, DataFrame]]:
-    """(status of each path, stages that ran, tables).  Without a change the old tables are the result."""
-    files, before = tree.scan(spark, root, exclude, max_depth), spark.read.parquet(f"{old}/files")
-    status = diff.diff(before, files, "path", "content_hash")
-    if status.where("status <> 'unchanged'").isEmpty():
-        return status, [], tree.load(spark, old)
-    stages = diff.stages_to_run({"files"})
-    return status, stages, stored(files, out)
+    """(status of each path, stages that ran, tables under `out`, or the old ones without a change).
+
+    Code nodes are extracted from added and modified files alone.  If neither they nor the set of paths changed, what follows from
+    them is carried over as it is.
+    """
+    files, before = tree.scan(spark, root, exclude, max_depth), tree.load(spark, old)
+    status = diff.diff(before["files"], files, "path", "content_hash")
+    counts = {r["status"]: r["n"] for r in status.groupBy("status").agg(F.count("*").alias("n")).collect()}  # four rows at most
+    if set(counts) <= {"unchanged"}:
+        return status, [], before
+    touched = status.where("status <> 'unchanged'").select("path")
+    nodes = before["code_nodes"].join(touched, "path", "left_anti")
+    nodes = nodes.unionByName(tree.code_nodes(files.join(touched, "path", "left_semi")).select(*nodes.columns))
+    tree.save({"code_nodes": nodes}, out)
+    nodes = spark.read.parquet(f"{out}/code_nodes")
+    digest = hashes.content_hash(F.col("type"), F.col("name"), F.col("path"), F.col("content"), F.col("start_line"))
+    now, was = nodes.withColumn("digest", digest), before["code_nodes"].withColumn("digest", digest)
+    same_paths = set(counts) <= {"unchanged", "modified"}
+    if same_paths and diff.diff(was, now, "id", "digest").where("status <> 'unchanged'").isEmpty():
+        tree.save({"files": files}, out)
+        fresh = spark.read.parquet(f"{out}/files")
+        tree.save({"directories": tree.directories(fresh), "languages": tree.languages(fresh)}, out)
+        done = ("files", "directories", "languages", "code_nodes")
+        tree.save({name: df for name, df in before.items() if name not in done}, out)
+        return status, ["languages", "code_nodes"], tree.load(spark, out)
+    return status, diff.stages_to_run({"files"}), stored_after(files, out, nodes)
+
+
+def stored_after(files: DataFrame, out: str, nodes: DataFrame) -> dict[str, DataFrame]:
+    """The analysis with code nodes that are under `out` already."""
+
+    def keep(name: str, df: DataFrame) -> DataFrame:
+        if name != "code_nodes":
+            tree.save({name: df}, out)
+        return df.sparkSession.read.parquet(f"{out}/{name}")
+
+    return analyse(files, keep, nodes)
 
 
 def statistics(tables: dict[str, DataFrame]) -> DataFrame:

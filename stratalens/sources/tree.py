@@ -24,7 +24,7 @@ LANGUAGE_OF = {f".{e}": name for name, all_ in LANGUAGES.items() for e in all_.s
 
 #: First line of a symbol; the group is its name.
 SYMBOLS = {"class": r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(\w+)", "interface": r"^\s*(?:export\s+)?interface\s+(\w+)", "function": r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?(?:function\*?|def|func|fn)\s+(\w+)"}
-TABLES = ("files", "directories", "languages", "code_nodes", "patterns", "relationships", "imports", "exports", "dependencies", "concepts", "semantic_units", "df_nodes", "df_flows", "df_paths")
+TABLES = ("files", "directories", "languages", "code_nodes", "patterns", "relationships", "imports", "exports", "dependencies", "concepts", "semantic_units", "clusters", "df_nodes", "df_flows", "df_paths")
 
 
 def excluded(path: Column, names: tuple[str, ...] | list[str]) -> Column:
