@@ -14,6 +14,12 @@ IMPORT_PATTERNS = {
     "commonjs": r"""require\s*\(\s*['"]([^'"]+)['"]\s*\)""",
     "python": r"(?m)^[ \t]*import[ \t]+([\w.]+)[ \t]*$",
     "python_from": r"(?m)^[ \t]*from[ \t]+([\w.]+)[ \t]+import\b",
+    "ruby": r"""(?m)^[ \t]*require(?:_relative)?[ \t]+['"]([\w\-/.]+)['"]""",
+    "go": r"""(?m)^[ \t]*import[ \t]+\(?\s*"([\w\-/.]+)\"""",
+    "java": r"(?m)^[ \t]*import[ \t]+(?:static[ \t]+)?([\w.]+\*?);",
+    "csharp": r"(?m)^[ \t]*using[ \t]+([\w.]+);",
+    "php": r"(?m)^[ \t]*use[ \t]+([\w\\]+)(?:[ \t]+as[ \t]+\w+)?;",
+    "php_file": r"""require(?:_once)[ \t]*\(?[ \t]*['"]([\w\-/.]+)['"]""",
 }
 EXPORT_PATTERNS = {"declaration": r"export\s+(?:const|let|var|function|class|interface|type|enum)\s+(\w+)", "default": r"export\s+default\s+(?:class\s+|function\s+)?(\w+)", "list": r"export\s*\{([^}]*)\}"}
 HEADER_PATTERNS = {"shebang": r"^#!\s*(\S+)", "xml": r"^<\?xml\b", "doctype": r"(?i)^<!DOCTYPE\s+(\w+)", "php": r"^<\?php"}

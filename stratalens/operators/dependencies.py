@@ -32,6 +32,25 @@ def dependency_type(module: Column, top_directories: tuple[str, ...], packages:
     return first_of([(module.startswith("."), "local_file"), (F.substring_index(module, "/", 1).isin(*top_directories), "internal"), (paths.package(module).isin(*packages), "external"), (simple, "standard_library")], "external")
 
 
+def manifest(files: DataFrame) -> DataFrame:
+    """package, version that the package.json files name; of several versions the least."""
+    named = F.from_json("content", F.lit("struct<dependencies:map<string,string>,devDependencies:map<string,string>>"))
+    entries = lambda part: F.coalesce(F.map_entries(named[part]), F.array().cast("array<struct<key:string,value:string>>"))
+    found = files.where("name = 'package.json'").select(F.explode(F.concat(entries("dependencies"), entries("devDependencies"))).alias("e"))
+    return found.groupBy(F.col("e.key").alias("package")).agg(F.min("e.value").alias("version"))
+
+
+def typed(rolled: DataFrame, files: DataFrame) -> DataFrame:
+    """rolled with type, version and confidence: by the tree's top directories and its manifests, both joined."""
+    top = files.where(F.contains("path", F.lit("/"))).select(F.substring_index("path", "/", 1).alias("__top")).distinct().withColumn("__inside", F.lit(True))
+    named = manifest(files).withColumnRenamed("package", "__package")
+    own = rolled.withColumns({"__top": F.substring_index("module", "/", 1), "__package": paths.package(F.col("module"))})
+    own = own.join(top, "__top", "left").join(named, "__package", "left")
+    simple = (F.length("module") < 10) & ~F.col("module").rlike(r"[-@/]")
+    kind = first_of([(F.col("module").startswith("."), "local_file"), (F.col("__inside").isNotNull(), "internal"), (F.col("version").isNotNull(), "external"), (simple, "standard_library")], "external")
+    return own.withColumns({"type": kind, "confidence": F.when(F.col("version").isNotNull(), 0.9).otherwise(0.8)}).drop("__top", "__package", "__inside")
+
+
 def recategorised(rolled: DataFrame, top_directories: tuple[str, ...]) -> DataFrame:
     """Types again, against the mean and greatest import count."""
     whole = rolled.agg(F.avg("import_count").alias("mean"), F.max("import_count").alias("most"))

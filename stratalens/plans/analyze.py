@@ -42,7 +42,7 @@ def analyse(files: DataFrame, keep: Callable[[str, DataFrame], DataFrame] = lamb
     put("semantic_units", semantics.pattern_units(found).unionByName(_units(nodes, concepts, edges)))
     put("clusters", _clusters(nodes))
     rolled = dependencies.roll_up(imports.withColumnRenamed("path", "file"), "module", "file")
-    put("dependencies", rolled.withColumn("type", dependencies.dependency_type(F.col("module"), (), ())))
+    put("dependencies", dependencies.typed(rolled, files))
     calls = call_edges(nodes)
     data = put("df_nodes", dataflow.with_endpoints(dataflow.nodes(nodes), nodes, calls))
     flows = put("df_flows", dataflow.direct(calls, data))

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from stratalens.operators import clustering, mining, retrieval, units
+from stratalens.operators import clustering, dependencies, mining, relationships, retrieval, units
 from stratalens.plans import analyze
 from stratalens.sources import tree
 
@@ -31,6 +31,8 @@ def test_increment_equals_the_full_analysis(spark, root):
     tables = analyze.full(spark, source, out["one"])
     kinds = {r.type for r in tables["semantic_units"].collect()}
     assert {"concept", "directory"} <= kinds
+    found = {r.module: (r.type, r.version, r.confidence) for r in tables["dependencies"].collect()}
+    assert found["react"] == ("external", "1", 0.9) and found["os"] == ("standard_library", None, 0.8) and found["../models/userModel"][0] == "local_file"
     assert any(r.n >= 5 for r in tables["clusters"].groupBy("cluster").agg(F.count("*").alias("n")).collect())
 
     (root / "tree" / "LICENSE").write_text("free for all")
@@ -134,3 +136,16 @@ def test_dense_groups_against_brute_force(spark):
     edges = [(a, b) for c in (0, 10, 20) for a in range(c, c + 5) for b in range(a + 1, c + 5)] + [(4, 10), (14, 20), (30, 31), (31, 32)]
     got = clustering.dense_groups(spark.createDataFrame(edges, "a long, b long"))
     assert set(rows(got, "group", "node")) == brute_dense(edges)
+
+
+def test_imports_of_other_languages(spark):
+    code = {"a.rb": "require 'net/http'\nrequire_relative \"lib/x\"\n", "b.go": 'import (\n\t"fmt"\n)\nimport "os/exec"\n', "c.java": "import java.util.List;\nimport static a.B;\n", "d.cs": "using System.Text;\n", "e.php": "use App\\Models\\User as U;\nrequire_once('db.php');\n"}
+    files = spark.createDataFrame(list(code.items()), "path string, content string")
+    assert rows(relationships.imports(files), "path", "module") == sorted([("a.rb", "net/http"), ("a.rb", "lib/x"), ("b.go", "fmt"), ("b.go", "os/exec"), ("c.java", "java.util.List"), ("c.java", "a.B"), ("d.cs", "System.Text"), ("e.php", "App\\Models\\User"), ("e.php", "db.php")], key=repr)
+
+
+def test_manifest(spark):
+    files = spark.createDataFrame([("package.json", "package.json", '{"dependencies": {"a": "1", "@s/b": "2"}}'), ("x/package.json", "package.json", '{"devDependencies": {"a": "0"}}'), ("y/package.json", "package.json", "no json"), ("lib/z.ts", "z.ts", None)], "path string, name string, content string")
+    assert rows(dependencies.manifest(files), "package", "version") == [("@s/b", "2"), ("a", "0")]
+    rolled = spark.createDataFrame([("@s/b/inner", 1), ("lib/z", 2), ("fs", 3), ("long-name-of-one", 1)], "module string, import_count int")
+    assert rows(dependencies.typed(rolled, files), "module", "type", "version") == [("@s/b/inner", "external", "2"), ("fs", "standard_library", None), ("lib/z", "internal", None), ("long-name-of-one", "external", None)]
