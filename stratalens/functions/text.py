@@ -23,7 +23,21 @@ IMPORT_PATTERNS = {
 }
 EXPORT_PATTERNS = {"declaration": r"export\s+(?:const|let|var|function|class|interface|type|enum)\s+(\w+)", "default": r"export\s+default\s+(?:class\s+|function\s+)?(\w+)", "list": r"export\s*\{([^}]*)\}"}
 HEADER_PATTERNS = {"shebang": r"^#!\s*(\S+)", "xml": r"^<\?xml\b", "doctype": r"(?i)^<!DOCTYPE\s+(\w+)", "php": r"^<\?php"}
-EVENT_PATTERNS = (r"""(?:emit|on|dispatch|addEventListener|subscribe)\s*\(\s*['"](\w+)['"]""",)
+EVENT_CALLS, EVENT_NAME = "(?:emit|on|dispatch|addEventListener|subscribe)", r"\b(?:on|handle|event)([A-Z][a-zA-Z0-9]*)\b"
+DOMAIN_TERMS = (
+    r"data\s+(?:flow|structure|model|source|sink|store)",
+    r"(?:code|file|directory)\s+structure",
+    r"(?:semantic|concept|pattern)\s+(?:analysis|extraction|discovery)",
+    r"(?:user|input|data)\s+validation",
+    r"(?:error|exception)\s+handling",
+    r"(?:async|synchronous)\s+(?:processing|operation|function)",
+    r"state\s+management",
+    r"(?:api|service)\s+(?:call|request|response)",
+    r"dependency\s+injection",
+    r"event\s+(?:handler|listener|emitter)",
+    r"(?:database|storage)\s+(?:connection|query|operation)",
+)
+CAPITALISED = r"[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+"
 
 
 def word_list(text: Column, least: int = 1) -> Column:
@@ -65,3 +79,19 @@ def line_diff(old: DataFrame, new: DataFrame, text: str = "text") -> DataFrame:
     b = new.select("key", F.posexplode(F.split(text, "\n")).alias("line", "after"))
     change = F.when(F.col("before").isNull(), "added").when(F.col("after").isNull(), "removed").otherwise("changed")
     return a.join(b, ["key", "line"], "full").where(~F.col("before").eqNullSafe(F.col("after"))).withColumn("change", change)
+
+
+def event_names(content: Column, least: int = 3) -> Column:
+    """Distinct events that a text emits or listens to by quoted name, and those that its identifiers name (onSaved: saved)."""
+    called = [F.regexp_extract_all(content, F.lit(rf"{EVENT_CALLS}\s*\(\s*{q}([^{q}]+){q}"), F.lit(1)) for q in ("'", '"', "`")]
+    named = F.transform(F.regexp_extract_all(content, F.lit(EVENT_NAME), F.lit(1)), lambda x: F.concat(F.lower(F.left(x, F.lit(1))), F.substring(x, 2, 1 << 30)))
+    return F.filter(F.array_distinct(F.concat(*called, named)), lambda x: F.length(x) >= least)
+
+
+def key_phrases(text: Column) -> Column:
+    """Words beyond two characters that carry a topic, their runs of two and three, the first of each domain term, and capitalised phrases in lower case."""
+    words = F.filter(word_list(text, 3), lambda w: ~w.isin(*STOP_WORDS))
+    joined = F.array_join(words, " ")
+    domain = F.filter(F.array(*[F.regexp_extract(joined, p, 0) for p in DOMAIN_TERMS]), lambda x: x != "")
+    capitalised = F.transform(F.regexp_extract_all(text, F.lit(CAPITALISED), F.lit(0)), F.lower)
+    return F.concat(words, domain, ngrams(words, 2), ngrams(words, 3), capitalised)

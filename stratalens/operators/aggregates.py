@@ -52,7 +52,17 @@ def affixes(df: DataFrame, name: str, longest: int, shortest: int = 3, suffix: b
 
 
 def reference_sample(df: DataFrame, group: str, key: str, share: float, least: int, most: int) -> DataFrame:
-    """A deterministic sample per group, by hash order: the sampling operator's share, within its bounds."""
-    n = F.count("*").over(Window.partitionBy(group))
-    nth = F.row_number().over(Window.partitionBy(group).orderBy(F.xxhash64(key), key))
-    return df.withColumns({"n_group": n, "nth": nth}).where(F.col("nth") <= F.least(F.greatest(F.ceil(F.col("n_group") * share), F.lit(least)), F.lit(most)))
+    """A deterministic sample per group, by the order of the keys' MD5: the sampling operator's share, within its bounds.
+
+    Rows are counted by group and slice of the hash; the counts tell where the sample ends, and rows are ranked within one
+    slice only, so that a group of any size is never sorted in one task.
+    """
+    own = df.withColumn("__hash", F.md5(F.col(key).cast("string"))).withColumn("__slice", F.left("__hash", F.lit(3)))
+    counts = own.groupBy(F.col(group).alias("__group"), F.col("__slice").alias("__at")).agg(F.count("*").alias("n"))
+    whole = F.sum("n").over(Window.partitionBy("__group"))
+    so_far = F.sum("n").over(Window.partitionBy("__group").orderBy(F.asc_nulls_last("__at")))
+    taken = F.least(F.greatest(F.ceil(F.col("n_group") * share), F.lit(least)), F.lit(most))
+    ends = counts.withColumns({"n_group": whole, "__before": so_far - F.col("n")}).where(F.col("__before") < taken)
+    met = own.join(ends.drop("n"), F.col(group).eqNullSafe(F.col("__group")) & F.col("__slice").eqNullSafe(F.col("__at")))
+    nth = F.col("__before") + F.row_number().over(Window.partitionBy("__group", "__at").orderBy("__hash", key))
+    return met.withColumn("nth", nth).where(F.col("nth") <= taken).drop("__hash", "__slice", "__group", "__at", "__before")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores
 from ..functions.names import any_contains, first_of
+from ..sources import work
 
 # Vocabulary of roles, flows and transformations.
 ROLE_NAMES = (("source", ("input", "source", "api", "fetch", "get", "provider")), ("sink", ("output", "sink", "save", "write", "send")), ("transformer", ("transform", "convert", "format", "parse", "map", "process")), ("store", ("store", "state", "cache", "repository", "db", "database")))
@@ -110,16 +111,28 @@ def property_flows(members: DataFrame) -> DataFrame:
     return _flows(s.join(g, ["parent_id", "what"]), F.lit("property_access"), "property", F.lit(0.75), F.lit(""))
 
 
-def name_pattern_flows(nodes: DataFrame, common: float = 0.2) -> DataFrame:
-    """Nodes of one file that share a term which at least two and at most a fifth of all nodes have; nodes: id, path, name, start_line."""
+def name_pattern_flows(nodes: DataFrame, common: float = 0.2, edges: DataFrame | None = None, units: DataFrame | None = None) -> DataFrame:
+    """Related nodes that share a term which at least two and at most a fifth of all nodes have; nodes: id, path, name, start_line.
+
+    Nodes are related in one directory (hence in one file), in one unit (units: unit, id), or by an edge (source_id, target_id).
+    Each relation is a join key beside the term, so only related nodes are compared.
+    """
     from ..functions.names import words
 
     terms = nodes.select("id", "path", "start_line", F.explode(F.array_distinct(words(F.col("name")))).alias("term")).where(F.length("term") >= 3)
     whole = nodes.agg(F.count("*").alias("all"))
     rare = terms.groupBy("term").agg(F.count("*").alias("n")).crossJoin(F.broadcast(whole)).where((F.col("n") >= 2) & (F.col("n") <= common * F.col("all"))).select("term")  # one row
-    own = terms.join(rare, "term", "left_semi")
-    a, b = own.select("term", "path", F.struct("start_line", "id").alias("a")), own.select("term", "path", F.struct("start_line", "id").alias("b"))
-    found = a.join(b, ["term", "path"]).where("a < b").select(F.col("a.id").alias("source_id"), F.col("b.id").alias("target_id")).distinct()
+    own = terms.join(rare, "term", "left_semi").select("term", "id", F.struct("start_line", "id").alias("at"), F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("place"))
+    if units is not None:
+        inside = own.drop("place").join(units.select("id", F.concat(F.lit("unit:"), F.col("unit").cast("string")).alias("place")).distinct(), "id")
+        own = own.withColumn("place", F.concat(F.lit("dir:"), "place")).unionByName(inside)
+    a, b = own.select("term", "place", F.col("at").alias("a")), own.select("term", "place", F.col("at").alias("b"))
+    found = a.join(b, ["term", "place"]).where("a < b").select("a", "b")
+    if edges is not None:
+        ends = edges.select("source_id", "target_id").distinct()
+        x, y = own.select("term", F.col("id").alias("source_id"), F.col("at").alias("x")).distinct(), own.select("term", F.col("id").alias("target_id"), F.col("at").alias("y")).distinct()
+        found = found.unionByName(ends.join(x, "source_id").join(y, ["term", "target_id"]).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+    found = found.select(F.col("a.id").alias("source_id"), F.col("b.id").alias("target_id")).distinct()
     return _flows(found, F.lit("method_call"), "name_pattern", F.lit(0.65), F.lit(""))
 
 
@@ -132,17 +145,18 @@ def extended(flows: DataFrame, starts: DataFrame | None, longest: int) -> DataFr
     """nodes: all simple paths of 2..longest nodes, from `starts` (column node_id) or anywhere."""
     step = flows.select(F.col("source_id").alias("s"), F.col("target_id").alias("t"))
     first = step if starts is None else step.join(starts.select(F.col("node_id").alias("s")), "s", "left_semi")
-    level = first.where("s <> t").select(F.array("s", "t").alias("nodes"))
+    level = work.stored(first.where("s <> t").select(F.array("s", "t").alias("nodes")), "paths")
     out = level
     for _ in range(longest - 2):
         level = level.withColumn("s", F.element_at("nodes", -1)).join(step, "s").where(~F.array_contains("nodes", F.col("t"))).select(F.concat("nodes", F.array("t")).alias("nodes"))
+        level = work.stored(level, "paths")  # the next level and the result both read it
         out = out.unionByName(level)
     return out
 
 
 def paths(flows: DataFrame, nodes: DataFrame, longest: int = 5) -> DataFrame:
     """nodes, entry, exit: simple paths from sources without incoming flow to sinks or leaves."""
-    distinct = flows.select("source_id", "target_id").distinct()
+    distinct = work.stored(flows.select("source_id", "target_id").distinct(), "flows")
     starts = nodes.where("role = 'source'").select("node_id").join(distinct.select(F.col("target_id").alias("node_id")), "node_id", "left_anti")
     found = extended(distinct, starts, longest).withColumn("exit", F.element_at("nodes", -1))
     sinks = nodes.where("role = 'sink'").select(F.col("node_id").alias("exit"), F.lit(True).alias("is_sink"))

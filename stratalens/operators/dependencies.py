@@ -23,7 +23,13 @@ def symbol_counts(uses: DataFrame, module: str, symbol: str) -> DataFrame:
 
 
 def confidence(uses: DataFrame, module: str, order: str, value: str) -> DataFrame:
-    """The running mean-of-two over each module's uses, in a stated order (an order-dependent fold)."""
+    """The running mean-of-two over each module's uses, in a stated order (an order-dependent fold).
+
+    A use counts half of the one after it, so those before a module's last 64 are below the precision of a double; the rank
+    limit keeps 64 uses a module in every task before the shuffle.
+    """
+    last = F.row_number().over(Window.partitionBy(module).orderBy(F.desc(order), F.desc(value)))
+    uses = uses.select(module, order, value).withColumn("__last", last).where("__last <= 64")
     return uses.groupBy(module).agg(F.sort_array(F.collect_list(F.struct(order, value))).alias("u")).select(module, F.round(scores.running_confidence(F.transform("u", lambda x: x[value])), 6).alias("confidence"))
 
 
@@ -114,3 +120,35 @@ def without_existing(new: DataFrame, old: DataFrame, keys: list[str]) -> DataFra
 def top_partners(pairs: DataFrame, k: int = 3) -> DataFrame:
     both = pairs.select("a", "b", "n").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
     return both.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), "b"))).where(F.col("rank") <= k)
+
+
+def might_target(module: Column, target: Column) -> Column:
+    """Whether a specifier may mean a file: by its stem, as a part of its path or the reverse, or by the directory that it names."""
+    directory = paths.dirname(module)
+    named = directory.isNotNull() & ~directory.isin("", ".") & F.startswith(target, directory)
+    return (module == F.regexp_extract(target, r"([^/]+?)(\.[^./]*)?$", 1)) | F.contains(target, module) | F.contains(module, target) | named
+
+
+def enriched(imports: DataFrame, edges: DataFrame) -> DataFrame:
+    """path, module, resolved_path: the least target among the edges of the same file that an import may mean, null if none.
+
+    imports: path, module; edges: source_id (a path), target_id (a path).
+    """
+    own = edges.select(F.col("source_id").alias("path"), "target_id").distinct()
+    best = imports.join(own, "path").where(might_target(F.col("module"), F.col("target_id"))).groupBy("path", "module").agg(F.min("target_id").alias("resolved_path"))
+    return imports.join(best, ["path", "module"], "left").select("path", "module", "resolved_path")
+
+
+def architecture(rolled: DataFrame, groups: DataFrame, links: DataFrame) -> DataFrame:
+    """name, n, confidence of the architectures that the dependencies show; counts only, one row each.
+
+    A module imported more than five times makes a central one; three groups of strength above 2 a modular one; layers of which
+    more than 60 % of all pairs depend one way a layered one.  links: source_id, target_id (paths).
+    """
+    most = rolled.agg(F.max("import_count").alias("n")).where("n > 5").select(F.lit("central").alias("name"), F.col("n").cast("long"), (0.7 + F.least(F.lit(0.2), F.col("n") / 50)).alias("confidence"))
+    strong = groups.where("strength > 2").agg(F.count("*").alias("n")).where("n >= 3").select(F.lit("modular").alias("name"), "n", (0.7 + F.least(F.lit(0.2), F.col("n") / 10)).alias("confidence"))
+    ends = links.select(layer(F.col("source_id")).alias("x"), layer(F.col("target_id")).alias("y")).distinct()
+    layers = ends.select(F.explode(F.array("x", "y")).alias("l")).where("l IS NOT NULL").agg(F.countDistinct("l").alias("layers"))
+    ways = ends.where("x IS NOT NULL AND y IS NOT NULL AND x <> y").groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count("*").alias("ways"))
+    one_way = ways.agg(F.count_if(F.col("ways") == 1).alias("n")).crossJoin(layers).where("n > 0.6 * layers * (layers - 1) / 2").select(F.lit("layered").alias("name"), "n", F.lit(0.75).alias("confidence"))  # one row each
+    return most.unionByName(strong).unionByName(one_way).withColumn("confidence", F.round("confidence", 6))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,6 +19,15 @@ def diff(old: DataFrame, new: DataFrame, key: str, digest: str) -> DataFrame:
     return a.join(b, key, "full").select(key, status.alias("status"))
 
 
+def collections_diff(collections: dict[str, tuple[DataFrame, DataFrame]], key: str, digest: str) -> DataFrame:
+    """key, status over several collections in one pass; a key is prefixed by its collection's name and a colon."""
+    sides = []
+    for side in (0, 1):
+        own = [pair[side].select(F.concat(F.lit(f"{name}:"), F.col(key).cast("string")).alias(key), digest) for name, pair in collections.items()]
+        sides.append(reduce(DataFrame.unionByName, own))
+    return diff(*sides, key, digest)
+
+
 def stages_to_run(changed: set[str]) -> list[str]:
     """All stages that follow from changed collections, in order of discovery."""
     out, queue = [], sorted(changed)

@@ -23,6 +23,13 @@ ROLE_SEEDS = {
     "data_transformer": "(transform|convert|format|parse|map|process|filter|reduce|format|sanitize|normalize)",
     "data_store": "(store|state|cache|repository|db|database|storage|collection|model|container)",
 }
+# What is counted in a file.
+STRUCTURES = {
+    "classes": r"\b(?:class|interface)\s+[A-Za-z0-9_]+",
+    "functions": r"\b(?:function|def|func)\s+[A-Za-z0-9_]+",
+    "imports": r"\b(?:import|require|from|using|include)\b",
+    "exports": r"\b(?:export|module\.exports|public|package)\b",
+}
 #: A paradigm where nothing tells one.
 NO_PARADIGM = "general-purpose"
 LONGEST_EVIDENCE = 500_000
@@ -115,3 +122,18 @@ def specifier(statement: Column) -> Column:
 def first_lines(content: Column, pattern: str, most: int = 5) -> Column:
     """The first trimmed lines that match."""
     return F.slice(F.filter(F.transform(F.split(content, "\n"), F.trim), lambda x: x.rlike(pattern)), 1, most)
+
+
+def structure_counts(content: Column) -> list[Column]:
+    """lines, and the counts of classes, functions, imports and exports in a content."""
+    return [F.size(F.split(content, "\n")).alias("lines"), *[F.regexp_count(content, F.lit(p)).alias(name) for name, p in STRUCTURES.items()]]
+
+
+def eligible(files: DataFrame, observed: DataFrame) -> DataFrame:
+    """files with each pattern that was seen in a file of their extension or language; observed: pattern, extension, language."""
+    found = None
+    for by in ("extension", "language"):
+        seen = observed.where(F.col(by).isNotNull()).select("pattern", by).distinct()
+        part = files.join(seen, by).select(*files.columns, "pattern")
+        found = part if found is None else found.unionByName(part)
+    return found.distinct()

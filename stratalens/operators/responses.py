@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.names import first_of
+
 NO_CONTEXT = "No relevant context was found."
 PATTERN = "array<struct<name:string,description:string,type:string,confidence:double>>"
 
@@ -42,3 +44,40 @@ def recommendations(answers: DataFrame, key: str, answer: str) -> DataFrame:
     """key, place, recommendation: list items of a text, in order."""
     items = F.regexp_extract_all(answer, F.lit(r"(?m)^\s*(?:[-*]|\d+[.)])\s+(.+)$"), F.lit(1))
     return answers.select(key, F.posexplode(items).alias("place", "recommendation"))
+
+
+RELATION = "array<struct<source:string,target:string,type:string,description:string>>"
+# Headings under which guidance is given, and verbs that begin advice.
+GUIDANCE = (("architecture", "architect"), ("modify", "modify|change"), ("create", "new file|create"), ("steps", "step"))
+ADVICE = ("Consider", "Implement", "Add", "Remove", "Refactor", "Improve", "Update", "Enhance", "Fix", "Create", "Maintain", "Ensure")
+
+
+def relationships(answers: DataFrame, key: str, answer: str) -> DataFrame:
+    """key, source, target, type, description: from a JSON array, an object with `relationships`, one object, or sections "Relationship n:" with fields.
+
+    Rows without a source or a target are left out; a missing type is "Undefined".
+    """
+    text = json_text(F.col(answer))
+    inner = F.from_json(text, F.lit(f"struct<relationships:{RELATION}>"))["relationships"]
+    one = F.from_json(text, F.lit(RELATION[6:-1]))
+    parsed = F.when(F.startswith(F.ltrim(text), F.lit("[")), F.from_json(text, F.lit(RELATION))).otherwise(F.coalesce(inner, F.when(one["source"].isNotNull(), F.array(one))))
+    field = lambda s, name: F.trim(F.regexp_extract(s, rf"{name}:?[ \t]*([^\n]*)", 1))
+    about = lambda s: F.regexp_extract(s, r"(?s)Description:?\s*(.*?)\s*(?=#{2,3}|Source:|$)", 1)
+    sections = F.transform(F.split(answer, r"(?=#{2,3}\s+Relationship:|Relationship \d+:)"), lambda s: F.struct(field(s, "Source").alias("source"), field(s, "Target").alias("target"), F.nullif(field(s, "Type"), F.lit("")).alias("type"), about(s).alias("description")))
+    rows = F.filter(F.coalesce(F.when(F.size(parsed) > 0, parsed), sections), lambda x: (x["source"] != "") & (x["target"] != ""))
+    return answers.select(key, F.explode(rows).alias("r")).select(key, "r.source", "r.target", F.coalesce("r.type", F.lit("Undefined")).alias("type"), F.coalesce("r.description", F.lit("")).alias("description"))
+
+
+def guidance(answers: DataFrame, key: str, answer: str) -> DataFrame:
+    """key, part, place, item: list items under the headings on architecture, files to modify, files to create (their paths alone), and steps."""
+    long = answers.select(key, F.explode(F.split(answer, r"(?m)^(?=#{1,4}\s)")).alias("s"))
+    heading = F.lower(F.regexp_extract("s", r"^#{1,4}\s+([^\n]*)", 1))
+    parts = long.select(key, first_of([(heading.rlike(p), name) for name, p in GUIDANCE]).alias("part"), F.regexp_extract_all("s", F.lit(r"(?m)^\s*(?:[-*]|\d+[.)])\s+(.+)$"), F.lit(1)).alias("items"))
+    rows = parts.where("part IS NOT NULL").select(key, "part", F.posexplode("items").alias("place", "item"))
+    path = F.regexp_extract("item", r"`?([^`\s:]+\.[a-zA-Z]+)`?", 1)
+    return rows.withColumn("item", F.when(F.col("part").isin("modify", "create"), path).otherwise(F.col("item"))).where("item <> ''")
+
+
+def advice(found: DataFrame) -> DataFrame:
+    """The recommendations (see above) that begin with a verb of advice."""
+    return found.where(F.col("recommendation").rlike("^(" + "|".join(ADVICE) + ")"))

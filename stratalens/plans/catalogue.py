@@ -118,7 +118,7 @@ def largest_per_language(t):
     return aggregates.top_per_group(t("documents"), ["lang"], [F.desc("n_chars"), F.col("doc_id")], 3).select("lang", "doc_id")
 
 
-@query(None)
+@query("""SELECT lang, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id::VARCHAR), doc_id) AS k, count(*) OVER (PARTITION BY lang) AS n FROM documents) WHERE k <= least(greatest(ceil(n * 0.1), 3), 50)""")
 def hash_sample(t):
     return aggregates.reference_sample(t("documents").select("doc_id", "lang"), "lang", "doc_id", 0.1, 3, 50).select("lang", "doc_id")
 
@@ -538,4 +538,4 @@ def token_estimates(t):
     return t("documents").groupBy("source").agg(F.round(F.sum(scores.token_estimate(F.col("text"))), 6).alias("tokens"))
 
 
-from . import catalogue_code  # noqa: E402, F401  (registers its queries)
+from . import catalogue_code, catalogue_model  # noqa: E402, F401  (register their queries)

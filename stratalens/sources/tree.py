@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,14 +38,36 @@ def exclusions(extra: str = "") -> list[str]:
     return list(dict.fromkeys([*EXCLUDED, *(x for p in extra.split(",") if (x := p.strip()))]))
 
 
+def _entered(spark: SparkSession, base: str, names: tuple[str, ...] | list[str]) -> str | list[str]:
+    """The entries of the root that are not excluded by name, so that excluded folders there are not even listed.
+
+    The root itself where nothing is excluded, where it has very many entries, or where names hold signs that a path pattern would read.
+    """
+    if not names:
+        return base
+    root = spark._jvm.org.apache.hadoop.fs.Path(base)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root) or not fs.getFileStatus(root).isDirectory():
+        return base
+    found = [x.getPath().getName() for x in fs.listStatus(root)]
+    kept = [x for x in found if not any(n in x for n in names) and x[0] not in "._"]
+    if not kept or len(kept) == len(found) or len(found) > 1000 or any(re.search(r"[\[\]{}*?\\,]", x) for x in kept):
+        return base
+    return [f"{base}/{x}" for x in kept]
+
+
 def scan(spark: SparkSession, root: str, exclude: list[str] | None = None, max_depth: int | None = None) -> DataFrame:
-    """path (relative), name, extension, parent_path, depth, size, modified, content, content_hash, line_count of each file."""
+    """path (relative), name, extension, parent_path, depth, size, modified, content, content_hash, line_count of each file.
+
+    As with Spark's own file sources, entries whose names begin with a dot or an underscore are passed over.
+    """
     base = root.rstrip("/")
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
+    names = EXCLUDED if exclude is None else exclude
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(_entered(spark, base, names))
     # what Spark calls the root: its path without the scheme
     inner = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), "^/*" + _quoted(base.split(":", 1)[-1].strip("/")) + "/", "")
     rows = rows.select(inner.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.decode("content", "UTF-8").alias("content"))
-    rows = rows.where(~excluded(F.col("path"), EXCLUDED if exclude is None else exclude) if exclude != [] else F.lit(True))
+    rows = rows.where(~excluded(F.col("path"), names) if names else F.lit(True))
     rows = describe(rows)
     return rows if max_depth is None else rows.where(F.col("depth") <= max_depth)
 
@@ -71,8 +94,6 @@ def listed(files: DataFrame, include_extensions: tuple[str, ...] = (), include_p
 
 
 def _quoted(text: str) -> str:
-    import re
-
     return re.sub(r"([.^$*+?()\[\]{}|\\])", r"\\\1", text)
 
 
