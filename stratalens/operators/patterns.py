@@ -10,6 +10,9 @@ from . import aggregates
 
 PATTERN = ("type", "name", "frequency", "confidence", "importance")
 COMMON_DIRECTORIES = ("src", "source", "lib", "app")
+# Folders by technical concern, which tell no feature, and the three of one architecture.
+TECHNICAL = ("src", "lib", "app", "components", "utils", "helpers", "services", "models", "views", "controllers", "config", "docs", "test", "tests", "specs", "__tests__", "public", "static", "assets", "images", "styles", "css")
+MVC = ("models", "views", "controllers")
 
 
 def _pattern(df: DataFrame, kind: str, name, frequency, confidence, importance) -> DataFrame:
@@ -71,6 +74,25 @@ def architecture(files: DataFrame) -> DataFrame:
     return _pattern(found, "architecture", F.col("name"), F.col("n"), F.lit(0.7), F.lit(0.9))
 
 
+def organisation(files: DataFrame, least: int = 3) -> DataFrame:
+    """How folders are cut: by feature (folders of other than technical names that hold several entries, a folder among them) or by MVC."""
+    parts = F.split("path", "/")
+    entry = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.struct(F.array_join(F.slice(parts, F.lit(1), k), "/").alias("dir"), F.array_join(F.slice(parts, F.lit(1), k + 1), "/").alias("child"), (k < F.size(parts) - 1).alias("folder")))
+    children = files.where(F.contains("path", F.lit("/"))).select(F.explode(entry).alias("e")).select("e.*").distinct()
+    held = children.groupBy("dir").agg(F.count("*").alias("entries"), F.max("folder").alias("folders")).withColumn("name", F.lower(paths.basename(F.col("dir"))))
+    feature = (F.col("entries") > 1) & F.col("folders") & ~F.col("name").isin(*TECHNICAL)
+    counts = held.agg(F.count_if(feature).alias("features"), *[F.count_if(F.col("name") == n).alias(n) for n in MVC])
+    row = lambda name, n, confidence, importance: F.struct(F.lit(name).alias("name"), n.cast("long").alias("n"), F.lit(confidence).alias("c"), F.lit(importance).alias("i"))
+    rules = F.array(F.when(F.col("features") >= least, row("feature-based", F.col("features"), 0.7, 0.8)), F.when((F.col("models") > 0) & (F.col("views") > 0) & (F.col("controllers") > 0), row("mvc folders", F.lit(3), 0.9, 0.9)))
+    found = counts.select(F.explode(F.filter(rules, lambda x: x.isNotNull())).alias("r")).select("r.*")
+    return _pattern(found, "organisation", F.col("name"), F.col("n"), F.col("c"), F.col("i"))
+
+
+def dependency_architecture(found: DataFrame) -> DataFrame:
+    """Rows of dependencies.architecture as patterns."""
+    return _pattern(found, "dependency", F.col("name"), F.col("n"), F.col("confidence"), F.lit(0.8))
+
+
 def file_names(files: DataFrame, least: int = 3) -> DataFrame:
     labels = files.select(F.explode(names.file_labels(paths.stem(F.col("path")))).alias("label"))
     found = aggregates.frequent(labels, F.col("label"), "label", least)

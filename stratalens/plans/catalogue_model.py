@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.names import first_of
-from ..operators import clustering, dataflow, dependencies, diff, mining, relationships, responses
+from ..operators import clustering, dataflow, dependencies, diff, mining, patterns, relationships, responses
 from .catalogue import VARIANTS, WORDS, variants
 from .registry import query
 
@@ -129,6 +129,17 @@ def dependency_architecture(t):
     return dependencies.architecture(rolled, groups, t("orders").select(layer(0).alias("source_id"), layer(1).alias("target_id")))
 
 
+FOLDERS = "SELECT source || '/' || coalesce(lang || '/', '') || doc_id || '.txt' AS path, source, coalesce(lang, doc_id::VARCHAR) AS child, lang FROM documents WHERE source IS NOT NULL"
+
+
+@query(f"""SELECT 'organisation' AS type, 'feature-based' AS name, count(*) AS frequency, 0.7::DOUBLE AS confidence, 0.8::DOUBLE AS importance FROM (SELECT source FROM ({FOLDERS}) GROUP BY source HAVING count(DISTINCT child) > 1 AND count(lang) > 0) HAVING count(*) >= 3
+    UNION ALL SELECT 'organisation', 'mvc folders', 3, 0.9, 0.9 FROM region WHERE r_regionkey = 0""")
+def folder_organisation(t):
+    path = F.concat(F.col("source"), F.lit("/"), F.coalesce(F.concat("lang", F.lit("/")), F.lit("")), F.col("doc_id"), F.lit(".txt"))
+    more = t("region").select(F.concat(F.array(*map(F.lit, ("Models", "views", "controllers", "views", "docs")))[F.col("r_regionkey")], F.lit("/f.ts")).alias("path"))
+    return patterns.organisation(t("documents").where("source IS NOT NULL").select(path.alias("path")).unionByName(more))
+
+
 # structure
 
 SEGMENTS = "SELECT c_nationkey AS k, c_mktsegment AS s, count(*) AS n FROM customer GROUP BY ALL"
