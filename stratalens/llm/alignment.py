@@ -33,7 +33,7 @@ COUNT_BYTES = 40
 #: Salts of a pair where its counts must be shuffled.
 SALTS = 32
 #: Memory of a worker for aligned parts, and about what one takes besides its links.
-MOST_BYTES, PART_BYTES = 200 << 20, 400
+MOST_BYTES, PART_BYTES = 120 << 20, 500
 # Fixed value: SentencePiece's sign for a space.
 SPACE = "▁"
 
