@@ -32,8 +32,10 @@ from . import bpe, shared, words
 COUNT_BYTES = 40
 #: Salts of a pair where its counts must be shuffled.
 SALTS = 32
+#: Bytes of the texts whose parts are looked up together.
+CHUNK_BYTES = 2 << 20
 #: Memory of a worker for aligned parts, and about what one takes besides its links.
-MOST_BYTES, PART_BYTES = 120 << 20, 500
+MOST_BYTES, PART_BYTES = 200 << 20, 400
 # Fixed value: SentencePiece's sign for a space.
 SPACE = "▁"
 
@@ -205,7 +207,7 @@ def groups(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
         for batch in batches:
             texts = batch.column("text")
             size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
-            edges = [0, *(np.flatnonzero(np.diff(size // words.CHUNK_BYTES)) + 1).tolist(), len(texts)] if len(texts) else [0]
+            edges = [0, *(np.flatnonzero(np.diff(size // CHUNK_BYTES)) + 1).tolist(), len(texts)] if len(texts) else [0]
             for x, y in zip(edges, edges[1:], strict=False):
                 totals, said, pairs, times = here.texts(texts.slice(x, y - x))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(x, y - x), *map(pa.array, totals), said, pairs, times], ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups", "pairs", "times"])
