@@ -5,8 +5,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Words that carry no topic.
-STOP_WORDS = ("the", "and", "for", "with", "that", "this", "from", "are", "was", "were", "has", "have", "had", "not", "but", "can", "will", "its", "all", "any", "use", "used", "set", "get", "new", "one", "two", "you", "your", "they", "them", "then", "when", "which", "into")
+# Words of comments that carry no topic.
+STOP_WORDS = (
+    "the", "and", "a", "an", "in", "on", "at", "to", "for", "with",
+    "by", "of", "this", "that", "it", "from", "as", "be", "is", "are",
+    "was", "were", "been", "being", "have", "has", "had", "do", "does",
+    "did", "but", "or", "if", "while", "when",
+)
+# Words of names and comments that are too common in code to be concepts, unless they are abbreviations.
+COMMON_WORDS = (
+    "get", "set", "add", "remove", "create", "delete", "update", "fetch",
+    "init", "start", "stop", "handle", "process", "execute", "run", "parse",
+    "load", "save", "build", "make", "test", "check", "validate", "verify",
+    "format", "convert", "transform", "calculate", "compute", "count",
+    "index", "key", "value", "item", "element", "node", "component", "module",
+    "util", "utility", "helper", "service", "factory", "provider", "manager", "controller",
+    "model", "view", "template", "function", "method", "callback", "event",
+    "listener", "handler", "config", "setup", "main", "app", "default",
+    "container", "wrapper", "context", "store", "state", "props",
+    "param", "arg", "input", "output", "result", "response", "request", "data",
+    "info", "error", "warning", "log", "debug", "temp", "tmp", "flag", "enabled",
+    "disabled", "active", "visible", "hidden", "selected", "current", "next",
+    "prev", "first", "last", "new", "old", "min", "max", "sum", "avg",
+    "file", "dir", "folder", "path", "name", "id", "src", "source",
+)
+# Technical abbreviations, which are never common words.
+ABBREVIATIONS = (
+    "ai", "ml", "nlp", "api", "gui", "ui", "ux", "sdk", "cli", "css", "dom",
+    "ssl", "tls", "jwt", "io", "db", "orm", "sql", "fk", "pk", "cdn", "dns",
+    "ip", "tcp", "udp", "http", "url", "uri", "rest", "spa", "pwa", "ssr",
+    "csr", "ci", "cd", "vm", "os", "fs", "cpu", "ram", "ssd", "hdd",
+    "dev", "prod", "qa", "uat", "src", "lib", "doc", "docs", "env", "var",
+    "mvc", "mvp", "mvvm", "di", "ioc", "dao", "dto", "vo", "ddd", "tdd", "bdd",
+    "nn", "cnn", "rnn", "lstm", "gru", "gan", "ocr", "tts", "stt", "lm",
+    "llm", "rag", "gu", "ug", "uf", "au", "ur",
+)
+# Module names that make their words important.
+SIGNIFICANT_MODULES = ("index", "main", "core", "types", "constants", "config", "api", "service", "model", "schema", "store", "context", "provider", "controller", "router", "utils", "helpers", "common", "shared")
 
 # Statement patterns of source code; the group is the module, symbol or list.
 IMPORT_PATTERNS = {
@@ -23,6 +58,7 @@ IMPORT_PATTERNS = {
 }
 EXPORT_PATTERNS = {"declaration": r"export\s+(?:const|let|var|function|class|interface|type|enum)\s+(\w+)", "default": r"export\s+default\s+(?:class\s+|function\s+)?(\w+)", "list": r"export\s*\{([^}]*)\}"}
 HEADER_PATTERNS = {"shebang": r"^#!\s*(\S+)", "xml": r"^<\?xml\b", "doctype": r"(?i)^<!DOCTYPE\s+(\w+)", "php": r"^<\?php"}
+# How code names events, terms of the domain, and capitalised phrases.
 EVENT_CALLS, EVENT_NAME = "(?:emit|on|dispatch|addEventListener|subscribe)", r"\b(?:on|handle|event)([A-Z][a-zA-Z0-9]*)\b"
 DOMAIN_TERMS = (
     r"data\s+(?:flow|structure|model|source|sink|store)",
@@ -40,6 +76,11 @@ DOMAIN_TERMS = (
 CAPITALISED = r"[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+"
 
 
+def is_common(word: Column) -> Column:
+    """A lower-case word that is too common in code to be a concept."""
+    return word.isin(*COMMON_WORDS) & ~word.isin(*ABBREVIATIONS)
+
+
 def word_list(text: Column, least: int = 1) -> Column:
     """Lower-case words of ASCII letters, digits and underscores."""
     plain = F.split(F.trim(F.regexp_replace(F.lower(text), r"[^a-z0-9_]+", " ")), " ")
@@ -90,7 +131,7 @@ def event_names(content: Column, least: int = 3) -> Column:
 
 def key_phrases(text: Column) -> Column:
     """Words beyond two characters that carry a topic, their runs of two and three, the first of each domain term, and capitalised phrases in lower case."""
-    words = F.filter(word_list(text, 3), lambda w: ~w.isin(*STOP_WORDS))
+    words = F.filter(word_list(text, 3), lambda w: ~w.isin(*STOP_WORDS) & ~is_common(w))
     joined = F.array_join(words, " ")
     domain = F.filter(F.array(*[F.regexp_extract(joined, p, 0) for p in DOMAIN_TERMS]), lambda x: x != "")
     capitalised = F.transform(F.regexp_extract_all(text, F.lit(CAPITALISED), F.lit(0)), F.lower)

@@ -12,24 +12,29 @@ from ..sources import work
 # Vocabulary of roles, flows and transformations.
 ROLE_NAMES = (("source", ("input", "source", "api", "fetch", "get", "provider")), ("sink", ("output", "sink", "save", "write", "send")), ("transformer", ("transform", "convert", "format", "parse", "map", "process")), ("store", ("store", "state", "cache", "repository", "db", "database")))
 ROLE_DEFAULTS = {"function": "transformer", "method": "transformer", "variable": "source", "class": "store"}
+ROLE_PATTERNS = (("source", ("source", "provider", "input")), ("sink", ("sink", "output", "writer")), ("transformer", ("transform", "converter", "processor")), ("store", ("store", "repository")))
 FLOW_EDGES = ("calls", "imports", "assigns", "uses", "depends", "references", "extends", "implements")
 TRANSFORMATIONS = ("map", "filter", "reduce", "sort")
 ASYNC = ("async", "promise", "then(", "callback", "await")
 CONDITIONAL = ("if ", "else ", "switch", "case ", "try", "catch", "?", "||", "&&")
+GETTERS, SETTERS = ("fetch", "read", "value"), ("update", "write", "store")
 WRITES = ("=", "set", "update", "write", "save")
 
 
 def role(name: Column, content: Column, kind: Column) -> Column:
     """source > sink > transformer > store by name, then by content; null if none applies."""
     n, c = F.lower(name), F.coalesce(F.lower(content), F.lit(""))
-    in_content = {"source": any_contains(c, ("resolve(",)), "sink": any_contains(c, ("emit(", "write(")), "transformer": F.contains(c, F.lit("return")) & any_contains(c, ("map(", "filter(", "reduce(")), "store": any_contains(F.lower(kind), ("store", "repository"))}
+    in_content = {"source": any_contains(c, ("return", "resolve(")), "sink": any_contains(c, ("write", "emit(")), "transformer": F.contains(c, F.lit("return")) & any_contains(c, ("map(", "filter(", "reduce(")), "store": any_contains(F.lower(kind), ("store", "repository"))}
     return first_of([(any_contains(n, words) | in_content[label], label) for label, words in ROLE_NAMES])
 
 
 def nodes(elements: DataFrame) -> DataFrame:
-    """node_id, name, role, data_type, confidence: elements with a role."""
+    """node_id, name, role, data_type, confidence (more for a name that tells the role): elements with a role."""
+    n, t = F.lower("name"), F.lower("type")
     found = elements.withColumn("role", role(F.col("name"), F.col("content"), F.col("type"))).where("role IS NOT NULL")
-    return found.select(F.col("id").alias("node_id"), "name", "role", F.lit(None).cast("string").alias("data_type"), F.lit(0.7).alias("confidence"))
+    telling = lambda words: F.coalesce(first_of([(F.col("role") == label, any_contains(n, own)) for label, own in words]), F.lit(False))
+    matched = telling(ROLE_PATTERNS) | ((F.col("role") == "store") & F.contains(t, F.lit("store")))
+    return found.select(F.col("id").alias("node_id"), "name", "role", F.lit(None).cast("string").alias("data_type"), F.round(node_confidence(matched, telling(ROLE_NAMES)), 6).alias("confidence"))
 
 
 def with_endpoints(nodes: DataFrame, elements: DataFrame, edges: DataFrame) -> DataFrame:
@@ -95,11 +100,60 @@ def event_flows(emitters: DataFrame, handlers: DataFrame) -> DataFrame:
     return _flows(found, F.lit("event_emission"), "event", F.lit(0.7), F.lit(""), F.lit(True))
 
 
-def call_flows(calls: DataFrame, parameters: DataFrame) -> DataFrame:
-    """Caller to each parameter of the callee, and callee back to the caller.  calls: caller, callee, context; parameters: callee, parameter."""
-    to = calls.join(parameters, "callee").select(F.col("caller").alias("source_id"), F.col("parameter").alias("target_id"), "context")
-    back = calls.select(F.col("callee").alias("source_id"), F.col("caller").alias("target_id"), "context")
-    return _flows(to, F.lit("parameter"), "call", F.lit(0.7), F.col("context")).unionByName(_flows(back, F.lit("return"), "call", F.lit(0.75), F.col("context")))
+def resolved_calls(calls: DataFrame, nodes: DataFrame) -> DataFrame:
+    """calls with callee: the function or method of the called name in the caller's file (of several the least id), else the only one of that name."""
+    own = nodes.where(F.col("type").isin("function", "method")).select("path", "name", "id")
+    near = own.groupBy("path", "name").agg(F.min("id").alias("near"))
+    far = own.groupBy("name").agg(F.min("id").alias("far"), F.count("*").alias("n")).where("n = 1").drop("n")
+    found = calls.join(near, ["path", "name"], "left").join(far, "name", "left")
+    return found.withColumn("callee", F.coalesce("near", "far")).where("callee IS NOT NULL AND callee <> caller").drop("near", "far")
+
+
+def call_flows(calls: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Flows of arguments to parameters, by position, and of results back; calls: see nodes.call_sites, with callee.
+
+    An argument that names a node the caller sees (its own parameters and variables, then its siblings, then the file's) flows to
+    the parameter with .85; the caller's parameters named within an argument that is an expression with .7.  A result flows to the
+    node of the variable that takes it with .8; to the caller with .7 where the line uses it, else with .6.
+    """
+    parameters = nodes.where("type = 'parameter'").select(F.col("parent_id").alias("callee"), F.col("position").alias("at"), F.col("id").alias("target_id"))
+    args = calls.select("caller", "path", "callee", "nth", "context", F.posexplode("arguments").alias("at", "argument")).join(parameters, ["callee", "at"])
+    plain = F.col("argument").rlike(r"^[\w$.]+$")
+    callers = nodes.where(F.col("type").isin("function", "method")).select(F.col("id").alias("caller"), F.col("parent_id").alias("holder"))
+    module = F.sha2(F.concat(F.lit("module:"), "path"), 256)
+    seen = nodes.where(F.col("type").isin("parameter", "variable", "property", "function", "method")).select(F.col("parent_id").alias("scope"), F.col("name").alias("word"), F.col("id").alias("source_id"))
+
+    def visible(rows: DataFrame, keys: list[str]) -> DataFrame:
+        """rows (caller, path, word) with the nearest node of that word, as source_id."""
+        scopes = F.array(F.struct(F.lit(0).alias("far"), F.col("caller").alias("scope")), F.struct(F.lit(1).alias("far"), F.col("holder").alias("scope")), F.struct(F.lit(2).alias("far"), module.alias("scope")))
+        wide = rows.join(callers, "caller").select("*", F.explode(scopes).alias("s")).select("*", "s.far", "s.scope").drop("s", "holder")
+        return wide.join(seen, ["scope", "word"]).groupBy(*keys).agg(F.min(F.struct("far", "source_id")).alias("best")).select(*keys, F.col("best.source_id").alias("source_id"), F.col("best.far").alias("far"))
+
+    keys = ["caller", "callee", "nth", "target_id", "context"]
+    explicit = visible(args.where(plain).withColumn("word", F.substring_index("argument", ".", -1)), keys)
+    words = F.explode(F.array_distinct(F.regexp_extract_all("argument", F.lit(r"([A-Za-z_$][\w$]*)"), F.lit(1))))
+    inferred = visible(args.where(~plain).withColumn("word", words), [*keys, "word"]).where("far = 0")
+    given = explicit.select("source_id", "target_id", "context", F.lit(0.85).alias("c")).unionByName(inferred.select("source_id", "target_id", "context", F.lit(0.7).alias("c")))
+    back = calls.select("caller", "path", "callee", "nth", "context", F.col("result").alias("word"))
+    taken = visible(back.where("word IS NOT NULL"), ["caller", "callee", "nth"]).select("caller", "callee", "nth", F.col("source_id").alias("taker"))
+    back = back.join(taken, ["caller", "callee", "nth"], "left")
+    used = F.col("word").isNotNull() | F.col("context").rlike(r"\breturn\b|=|\(.*\(|\)\s*\.")
+    returned = back.select(F.col("callee").alias("source_id"), F.coalesce("taker", "caller").alias("target_id"), "context", F.when(F.col("taker").isNotNull(), 0.8).when(used, 0.7).otherwise(0.6).alias("c"))
+    return _flows(given, F.lit("parameter"), "call", F.col("c"), F.col("context")).unionByName(_flows(returned, F.lit("return"), "call", F.col("c"), F.col("context"))).where("source_id <> target_id")
+
+
+def member_flows(nodes: DataFrame) -> DataFrame:
+    """Between data holders and their properties and methods: holder to getter, setter to holder; .75.
+
+    nodes: id, type, parent_id, name, content.  A member that looks like both is a getter.
+    """
+    n, c = F.lower("name"), F.coalesce(F.lower("content"), F.lit(""))
+    gets = F.startswith(n, F.lit("get")) | any_contains(n, GETTERS) | (F.contains(c, F.lit("return")) & ~F.contains(c, F.lit("=")))
+    sets = F.startswith(n, F.lit("set")) | any_contains(n, SETTERS) | (F.contains(c, F.lit("=")) & F.contains(c, F.lit("this.")))
+    holders = nodes.where(F.col("type").isin("class", "interface", "enum", "object", "module")).select(F.col("id").alias("parent_id"))
+    own = nodes.where(F.col("type").isin("property", "method")).select("id", "parent_id", gets.alias("gets"), sets.alias("sets")).where("gets OR sets").join(holders, "parent_id", "left_semi")
+    rows = own.select(F.when(F.col("gets"), F.col("parent_id")).otherwise(F.col("id")).alias("source_id"), F.when(F.col("gets"), F.col("id")).otherwise(F.col("parent_id")).alias("target_id"))
+    return _flows(rows, F.lit("property_access"), "property", F.lit(0.75), F.lit(""))
 
 
 def property_flows(members: DataFrame) -> DataFrame:
@@ -165,14 +219,19 @@ def paths(flows: DataFrame, nodes: DataFrame, longest: int = 5) -> DataFrame:
     return kept.select("nodes", F.col("nodes")[0].alias("entry"), "exit")
 
 
+def transformed_type(data_type: Column, transformations: Column) -> Column:
+    """map makes an array of what is none, filter keeps the type, reduce takes the first array sign off, transform and format give a string."""
+    has = lambda t: F.array_contains(transformations, t)
+    array = F.contains(data_type, F.lit("[]"))
+    return F.when(has("map"), F.when(array, data_type).otherwise(F.concat(data_type, F.lit("[]")))).when(has("filter"), data_type).when(has("reduce"), F.regexp_replace(data_type, r"^(.*?)\[\]", "$1")).when(has("transform") | has("format"), F.lit("string")).otherwise(data_type)
+
+
 def propagated(nodes: DataFrame, flows: DataFrame, rounds: int = 3) -> DataFrame:
     """node_id, data_type after synchronous rounds along the flows; of several the least source id gives the type."""
     types = nodes.select("node_id", "data_type")
     step = flows.select("source_id", "target_id", "transformations")
     for _ in range(rounds):
-        has = lambda t: F.array_contains("transformations", t)
-        kind = F.when(has("map"), F.concat("data_type", F.lit("[]"))).when(has("reduce"), F.regexp_replace("data_type", r"\[\]$", "")).otherwise(F.col("data_type"))
-        given = step.join(types.where("data_type IS NOT NULL").withColumnRenamed("node_id", "source_id"), "source_id").groupBy(F.col("target_id").alias("node_id")).agg(F.min(F.struct("source_id", kind.alias("t"))).alias("g"))
+        given = step.join(types.where("data_type IS NOT NULL").withColumnRenamed("node_id", "source_id"), "source_id").groupBy(F.col("target_id").alias("node_id")).agg(F.min(F.struct("source_id", transformed_type(F.col("data_type"), F.col("transformations")).alias("t"))).alias("g"))
         types = types.join(given, "node_id", "left").select("node_id", F.coalesce("data_type", "g.t").alias("data_type"))
     return types
 
@@ -200,7 +259,7 @@ TAKING = ("set", "put", "update", "save", "store", "write", "sink", "target")
 
 def data_terms(name: Column) -> Column:
     """Words of a name without its leading verb, and the whole name."""
-    rest = first_of([(F.startswith(name, F.lit(v)), F.substring(name, len(v) + 1, 1000)) for v in DATA_VERBS], name)
+    rest = first_of([(F.startswith(name, F.lit(v)), F.substring(name, len(v) + 1, 1 << 30)) for v in DATA_VERBS], name)
     parts = F.split(F.lower(F.replace(F.regexp_replace(rest, "([a-z])([A-Z])", "$1 $2"), F.lit("_"), F.lit(" "))), " ")
     return F.concat(F.filter(parts, lambda x: x != ""), F.array(name))
 

@@ -38,18 +38,28 @@ def dependency_type(module: Column, top_directories: tuple[str, ...], packages:
     return first_of([(module.startswith("."), "local_file"), (F.substring_index(module, "/", 1).isin(*top_directories), "internal"), (paths.package(module).isin(*packages), "external"), (simple, "standard_library")], "external")
 
 
-def manifest(files: DataFrame) -> DataFrame:
-    """package, version that the package.json files name; of several versions the least."""
+def declared_packages(files: DataFrame) -> DataFrame:
+    """path, package, version: each entry of each package.json."""
     named = F.from_json("content", F.lit("struct<dependencies:map<string,string>,devDependencies:map<string,string>>"))
     entries = lambda part: F.coalesce(F.map_entries(named[part]), F.array().cast("array<struct<key:string,value:string>>"))
-    found = files.where("name = 'package.json'").select(F.explode(F.concat(entries("dependencies"), entries("devDependencies"))).alias("e"))
-    return found.groupBy(F.col("e.key").alias("package")).agg(F.min("e.value").alias("version"))
+    found = files.where("name = 'package.json'").select("path", F.explode(F.concat(entries("dependencies"), entries("devDependencies"))).alias("e"))
+    return found.select("path", F.col("e.key").alias("package"), F.col("e.value").alias("version"))
+
+
+def least_versions(packages: DataFrame) -> DataFrame:
+    """package, version; of several versions the least."""
+    return packages.groupBy("package").agg(F.min("version").alias("version"))
+
+
+def manifest(files: DataFrame) -> DataFrame:
+    """package, version that the package.json files name."""
+    return least_versions(declared_packages(files))
 
 
-def typed(rolled: DataFrame, files: DataFrame) -> DataFrame:
-    """rolled with type, version and confidence: by the tree's top directories and its manifests, both joined."""
+def typed(rolled: DataFrame, files: DataFrame, packages: DataFrame | None = None) -> DataFrame:
+    """rolled with type, version and confidence: by the tree's top directories and its manifests (packages, where they are known), both joined."""
     top = files.where(F.contains("path", F.lit("/"))).select(F.substring_index("path", "/", 1).alias("__top")).distinct().withColumn("__inside", F.lit(True))
-    named = manifest(files).withColumnRenamed("package", "__package")
+    named = (manifest(files) if packages is None else packages).withColumnRenamed("package", "__package")
     own = rolled.withColumns({"__top": F.substring_index("module", "/", 1), "__package": paths.package(F.col("module"))})
     own = own.join(top, "__top", "left").join(named, "__package", "left")
     simple = (F.length("module") < 10) & ~F.col("module").rlike(r"[-@/]")

@@ -538,4 +538,4 @@ def token_estimates(t):
     return t("documents").groupBy("source").agg(F.round(F.sum(scores.token_estimate(F.col("text"))), 6).alias("tokens"))
 
 
-from . import catalogue_code, catalogue_model  # noqa: E402, F401  (register their queries)
+from . import catalogue_code, catalogue_model, catalogue_tree  # noqa: E402, F401  (register their queries)

@@ -39,7 +39,7 @@ def structure_counts(t):
     return t("pages").where("html IS NOT NULL").select("page_id", *mining.structure_counts(F.col("html")))
 
 
-STOPS = ", ".join(quoted(w) for w in text.STOP_WORDS)
+STOPS = ", ".join(quoted(w) for w in dict.fromkeys((*text.STOP_WORDS, *text.COMMON_WORDS)) if w not in text.ABBREVIATIONS)  # written out in catalogue_tree
 DOMAIN = ", ".join(f"regexp_extract(array_to_string(w, ' '), {quoted(p)})" for p in text.DOMAIN_TERMS)
 
 

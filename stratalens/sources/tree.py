@@ -10,9 +10,18 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..operators import aggregates
-
-# Entry names that are never scanned.
-EXCLUDED = ("node_modules", ".git", "dist", "build", "coverage", ".next", ".cache", "tmp", "temp", "logs", ".DS_Store", "__pycache__", ".venv", "venv", "env", ".idea", ".vscode", "target", "bin", "obj", "out", ".gradle", ".mvn", "vendor", "bower_components", ".nyc_output", ".pytest_cache", ".mypy_cache", ".tox", ".eggs", "package-lock.json", "yarn.lock", "pnpm-lock.yaml", ".env", ".turbo", ".parcel-cache", ".svelte-kit", ".nuxt")
+from . import walk
+from .nodes import code_nodes  # noqa: F401  (a table of the tree)
+
+# Parts of entry names that are never scanned.
+EXCLUDED = (
+    "node_modules", ".git", "dist", "build", ".cache", ".svn", ".hg", ".bzr", "_build", "vendor", "bower_components", "tmp", "temp", "__pycache__", ".pytest_cache", ".venv", "venv", "env", ".env",
+    "bin", "obj", "target", "output", "out", "build-output", "coverage", "logs", ".logs", "log", ".DS_Store", "thumbs.db", ".idea", ".vscode", ".gradle", ".next", "deploy", ".terraform",
+)
+#: More that a caller may add: caches and lock files of newer tools.
+MORE_EXCLUDED = (".mvn", ".nyc_output", ".mypy_cache", ".tox", ".eggs", "package-lock.json", "yarn.lock", "pnpm-lock.yaml", ".turbo", ".parcel-cache", ".svelte-kit", ".nuxt")
+#: This library's own folder inside a tree.
+OWN_FOLDER = ".stratalens"
 
 # Languages and their extensions.
 LANGUAGES = {
@@ -23,19 +32,14 @@ LANGUAGES = {
 }
 LANGUAGE_OF = {f".{e}": name for name, all_ in LANGUAGES.items() for e in all_.split()}
 
-#: First line of a symbol; the group is its name.
-SYMBOLS = {"class": r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(\w+)", "interface": r"^\s*(?:export\s+)?interface\s+(\w+)", "function": r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?(?:function\*?|def|func|fn)\s+(\w+)"}
-TABLES = ("files", "directories", "languages", "code_nodes", "patterns", "relationships", "imports", "exports", "dependencies", "concepts", "semantic_units", "clusters", "df_nodes", "df_flows", "df_paths")
-
-
 def excluded(path: Column, names: tuple[str, ...] | list[str]) -> Column:
     """Any segment contains any of the names."""
     return F.exists(F.split(path, "/"), lambda s: F.exists(F.array(*map(F.lit, names)), lambda n: F.contains(s, n)))
 
 
-def exclusions(extra: str = "") -> list[str]:
-    """The defaults and a comma-separated list, trimmed, each once."""
-    return list(dict.fromkeys([*EXCLUDED, *(x for p in extra.split(",") if (x := p.strip()))]))
+def exclusions(extra: str = "", own: str = OWN_FOLDER) -> list[str]:
+    """The defaults, the own folder and a comma-separated list, trimmed, each once."""
+    return list(dict.fromkeys([*EXCLUDED, own, *(x for p in extra.split(",") if (x := p.strip()))]))
 
 
 def _entered(spark: SparkSession, base: str, names: tuple[str, ...] | list[str]) -> str | list[str]:
@@ -59,10 +63,14 @@ def _entered(spark: SparkSession, base: str, names: tuple[str, ...] | list[str])
 def scan(spark: SparkSession, root: str, exclude: list[str] | None = None, max_depth: int | None = None) -> DataFrame:
     """path (relative), name, extension, parent_path, depth, size, modified, content, content_hash, line_count of each file.
 
-    As with Spark's own file sources, entries whose names begin with a dot or an underscore are passed over.
+    Directories are listed level by level (sources/walk.py), so nothing below an excluded one is looked at.  Where only Spark
+    knows the root's kind of URI, its binary file source reads the tree; that source passes over names that begin with a dot or
+    an underscore.
     """
     base = root.rstrip("/")
-    names = EXCLUDED if exclude is None else exclude
+    names = (*EXCLUDED, OWN_FOLDER) if exclude is None else exclude
+    if walk.opened(base):
+        return describe(walk.contents(walk.entries(spark, base, names, max_depth).where("is_file"), base))
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(_entered(spark, base, names))
     # what Spark calls the root: its path without the scheme
     inner = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), "^/*" + _quoted(base.split(":", 1)[-1].strip("/")) + "/", "")
@@ -72,6 +80,12 @@ def scan(spark: SparkSession, root: str, exclude: list[str] | None = None, max_d
     return rows if max_depth is None else rows.where(F.col("depth") <= max_depth)
 
 
+def named(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
+    """The rows of `scan` for some paths alone."""
+    base = root.rstrip("/")
+    return describe(walk.contents(walk.named(spark, base, paths), base))
+
+
 def listed(files: DataFrame, include_extensions: tuple[str, ...] = (), include_patterns: tuple[str, ...] = (), exclude_extensions: tuple[str, ...] = (), exclude_patterns: tuple[str, ...] = (), include: Column | None = None) -> DataFrame:
     """The files that pass a filter on path and extension.
 
@@ -118,22 +132,6 @@ def languages(files: DataFrame) -> DataFrame:
     return files.where("language IS NOT NULL").groupBy("language").agg(F.count("*").alias("file_count"), F.sum("size").alias("total_size"), F.array_sort(F.collect_set("extension")).alias("extensions"))
 
 
-def code_nodes(files: DataFrame, symbols: bool = True) -> DataFrame:
-    """A module per file with a language, and (our extension) the symbols that its lines declare."""
-    own = files.where("language IS NOT NULL")
-    modules = own.select(F.sha2(F.concat(F.lit("module:"), "path"), 256).alias("id"), F.lit("module").alias("type"), paths.stem(F.col("path")).alias("name"), "path", "language", "content", F.lit(1).alias("start_line"), F.col("line_count").alias("end_line"), F.lit(None).cast("string").alias("parent_id"), F.lit(0.9).alias("confidence"))
-    if not symbols:
-        return modules
-    lines = own.select("path", "language", F.split("content", "\n").alias("lines")).select("*", F.posexplode("lines").alias("at", "line"))
-    found = F.array(*[F.struct(F.lit(kind).alias("type"), F.regexp_extract("line", p, 1).alias("name")) for kind, p in SYMBOLS.items()])
-    hits = lines.select("path", "language", "lines", "at", F.length(F.regexp_extract("line", r"^(\s*)", 1)).alias("indent"), F.get(F.filter(found, lambda x: x["name"] != ""), F.lit(0)).alias("s")).where("s IS NOT NULL")
-    # a symbol ends before the next line, not empty, that is indented no deeper and does not just close it
-    after = F.sequence(F.col("at") + 1, F.size("lines"))
-    ends = F.array_min(F.filter(after, lambda k: (k == F.size("lines")) | ((F.trim(F.get("lines", k)) != "") & ~F.trim(F.get("lines", k)).rlike(r"^[}\])]") & (F.length(F.regexp_extract(F.get("lines", k), r"^(\s*)", 1)) <= F.col("indent")))))
-    hits = hits.withColumn("end", ends)
-    return modules.unionByName(hits.select(F.sha2(F.concat_ws(":", "s.type", "path", "s.name", "at"), 256).alias("id"), F.col("s.type").alias("type"), F.col("s.name").alias("name"), "path", "language", F.array_join(F.slice("lines", F.col("at") + 1, F.col("end") - F.col("at")), "\n").alias("content"), (F.col("at") + 1).alias("start_line"), F.col("end").alias("end_line"), F.sha2(F.concat(F.lit("module:"), "path"), 256).alias("parent_id"), F.lit(0.7).alias("confidence")))
-
-
 MARKERS = ("package.json", "pyproject.toml", "requirements.txt", "pom.xml", "build.gradle", ".git")
 
 
@@ -151,5 +149,5 @@ def save(tables: dict[str, DataFrame], root: str) -> None:
         df.write.mode("overwrite").parquet(f"{root}/{name}")
 
 
-def load(spark: SparkSession, root: str, names: tuple[str, ...] = TABLES) -> dict[str, DataFrame]:
+def load(spark: SparkSession, root: str, names: tuple[str, ...]) -> dict[str, DataFrame]:
     return {n: spark.read.parquet(f"{root}/{n}") for n in names}

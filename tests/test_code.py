@@ -9,7 +9,7 @@ from stratalens.sources import tree
 
 from .test_model import TREE, rows
 
-MORE = {"LICENSE": "free", "src/util/names.ts": "".join(f"export function getOrder{x}() {{\n  return getOrder{y}()\n}}\n" for x, y in zip("ABCDE", "BCDEA", strict=True))}
+MORE = {"LICENSE": "free", "src/orders/order.ts": "".join(f"export function orderOf{x}() {{}}\n" for x in ("Today", "Week", "Year")), "src/util/names.ts": "".join(f"export function getOrder{x}() {{\n  return getOrder{y}()\n}}\n" for x, y in zip("ABCDE", "BCDEA", strict=True))}
 
 
 @pytest.fixture
@@ -27,28 +27,37 @@ def content_of(table):
 
 
 def test_increment_equals_the_full_analysis(spark, root):
-    source, out = str(root / "tree"), {k: str(root / k) for k in ("one", "two", "three", "full")}
+    source, out = str(root / "tree"), {k: str(root / k) for k in ("one", "two", "three", "four", "full")}
+    (root / "tree" / "src/page.vue").write_text("<script>import x from './util/names'</script>")
     tables = analyze.full(spark, source, out["one"])
     kinds = {r.type for r in tables["semantic_units"].collect()}
     assert {"concept", "directory"} <= kinds
     found = {r.module: (r.type, r.version, r.confidence) for r in tables["dependencies"].collect()}
     assert found["react"] == ("external", "1", 0.9) and found["os"] == ("standard_library", None, 0.8) and found["../models/userModel"][0] == "local_file"
     assert any(r.n >= 5 for r in tables["clusters"].groupBy("cluster").agg(F.count("*").alias("n")).collect())
+    origins = {r.origin for r in tables["df_flows"].collect()}
+    assert {"direct", "call", "property", "name_pattern"} <= origins and ("structure",) in rows(tables["concepts"].select("origin").distinct(), "origin")
 
     (root / "tree" / "LICENSE").write_text("free for all")
     status, stages, after = analyze.incremental(spark, source, out["one"], out["two"])
     assert rows(status.where("status <> 'unchanged'"), "path", "status") == [("LICENSE", "modified")]
-    assert stages == ["languages", "code_nodes"] and set(after) == set(tree.TABLES)
+    assert set(stages) == {s.name for s in analyze.STAGES if s.key} | {"languages"}  # a file grew
     assert content_of(after["files"]) != content_of(tables["files"])
-    assert all(content_of(after[x]) == content_of(tables[x]) for x in tree.TABLES if x != "files")
+    assert all(content_of(after[x]) == content_of(tables[x]) for x in tables if x != "files")
+    assert spark.read.parquet(out["two"] + "/files").count() == 1 and spark.read.parquet(out["two"] + "/code_nodes").count() == 0  # the touched rows alone
 
+    (root / "tree" / "src/page.vue").write_text("<script>import x from './util/extra'</script>")  # no code node of its own changes
     (root / "tree" / "src/util/names.ts").write_text(MORE["src/util/names.ts"] + "export function setOrderF() {\n  return 1\n}\n")
     (root / "tree" / "src/util/index.ts").unlink()
     (root / "tree" / "src/util/more.py").write_text("import os\n\ndef more():\n    return 1\n")
     _, stages, after = analyze.incremental(spark, source, out["two"], out["three"])
-    assert {"code_nodes", "patterns", "relationships", "semantics"} <= set(stages)
+    assert {"code_nodes", "imports", "patterns", "relationships", "concepts"} <= set(stages)
+    assert ("src/page.vue", "./util/extra") in rows(after["imports"], "path", "module") and ("src/page.vue", "./util/names") not in rows(after["imports"], "path", "module")
+    (root / "tree" / "src/util/more.py").unlink()
+    (root / "tree" / "src/util/extra.py").write_text("class Thing:\n    def __init__(self, size):\n        self.size = size\n")
+    stages, after = analyze.targeted(spark, source, ["src/util/more.py", "src/util/extra.py"], out["three"], out["four"])
     whole = analyze.full(spark, source, out["full"])
-    assert all(content_of(after[x]) == content_of(whole[x]) for x in tree.TABLES)
+    assert set(after) == set(whole) and all(content_of(after[x]) == content_of(whole[x]) for x in whole)
 
 
 def test_store_keeps_versions_and_dimension(spark, tmp_path):

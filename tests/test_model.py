@@ -53,7 +53,7 @@ def test_nodes_imports_and_inheritance(spark, root):
     nodes = tree.code_nodes(files)
     assert {("class", "UserModel"), ("function", "fetchInput"), ("function", "helper"), ("class", "Thing"), ("module", "userView")} <= set(rows(nodes, "type", "name"))
     spans = {r.name: (r.start_line, r.end_line) for r in nodes.where("type = 'function'").collect()}
-    assert spans["fetchInput"] == (1, 3) and spans["helper"] == (4, 6)
+    assert spans["fetchInput"] == (1, 3) and spans["helper"] == (4, 5)
     resolved = relationships.resolve_imports(relationships.imports(files), files)
     found = {(r.path.rsplit("/", 1)[-1], r.module): r.resolved_path for r in resolved.collect()}
     assert found["userController.ts", "../models/userModel"] == "src/models/userModel.ts" and found["userController.ts", "react"] is None
@@ -78,7 +78,7 @@ def test_analysis_and_increment(spark, root):
     status, stages, _ = analyze.incremental(spark, str(root / "tree"), out["one"], out["three"])
     by = dict(rows(status, "path", "status"))
     assert (by["src/util/index.ts"], by["src/util/new.py"], by["src/services/userService.ts"], by["package.json"]) == ("deleted", "added", "modified", "unchanged")
-    assert {"languages", "code_nodes", "clusters", "semantics"} <= set(stages)
+    assert {"languages", "code_nodes", "clusters", "concepts"} <= set(stages)
 
 
 def value(spark, column, **inputs):
@@ -170,8 +170,8 @@ def test_patterns_concepts_and_dependencies(spark):
     roles = {r.name: r.frequency for r in patterns.role_names(nodes).collect()}
     assert roles == {"Service": 2, "get": 3}
     assert {"structure", "naming"} <= {r.type for r in patterns.structure(nodes).unionByName(patterns.conventions(nodes)).collect()}
-    assert {"user", "service"} <= {r.name for r in semantics.identifier_concepts(nodes).collect()}
-    assert {r.name: r["count"] for r in semantics.comment_concepts(nodes).collect()}["load"] == 3
+    assert {"user", "order"} == {r.name for r in semantics.identifier_concepts(nodes).collect()} - {"all"}
+    assert {r.name: r["count"] for r in semantics.comment_concepts(nodes).collect()}["user"] == 3
     members = spark.createDataFrame([("u", "1", "d", "a"), ("u", "2", "d", "a"), ("v", "2", "d", "a"), ("v", "3", "e", "b")], "concept string, node_id string, directory string, name string")
     edges = spark.createDataFrame([("1", "2"), ("1", "3")], "source_id string, target_id string")
     assert rows(semantics.edge_links(edges, members), "a", "b", "strength") == [("u", "v", 2)]

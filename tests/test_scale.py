@@ -70,7 +70,7 @@ def test_scan_enters_only_what_is_kept(spark, tmp_path):
         p.parent.mkdir(parents=True, exist_ok=True)
         p.write_text("x")
     root = str(tmp_path / "r")
-    assert rows(tree.scan(spark, root), "path", "depth", "parent_path") == [("lib/c.py", 1, "lib"), ("src/app.ts", 1, "src"), ("top.go", 0, "")]
+    assert rows(tree.scan(spark, root), "path", "depth", "parent_path") == [(".hidden/d.js", 1, ".hidden"), ("_x/e.js", 1, "_x"), ("lib/c.py", 1, "lib"), ("src/app.ts", 1, "src"), ("top.go", 0, "")]
     assert not any("node_modules" in x or "_x" in x or ".hidden" in x for x in tree._entered(spark, root, tree.EXCLUDED))
     (tmp_path / "r" / "odd[1]").mkdir()
     (tmp_path / "r" / "odd[1]" / "f.ts").write_text("x")
