@@ -136,3 +136,50 @@ def key_phrases(text: Column) -> Column:
     domain = F.filter(F.array(*[F.regexp_extract(joined, p, 0) for p in DOMAIN_TERMS]), lambda x: x != "")
     capitalised = F.transform(F.regexp_extract_all(text, F.lit(CAPITALISED), F.lit(0)), F.lower)
     return F.concat(words, domain, ngrams(words, 2), ngrams(words, 3), capitalised)
+
+
+def all_matches(df: DataFrame, key: str, content: str, patterns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(every match of every pattern, patterns that are no regular expressions).
+
+    patterns: pattern (its id), regex, confidence (null: .8); a table, so that patterns may be mined or come from a registry.  Matches: key,
+    pattern, nth (from 0), match, offset (from 1), line, groups (by number; "" where a group takes no part), confidence.  A
+    bad pattern is left out and told with its message.  The valid ones are compiled once per task.
+    """
+    import pandas as pd
+
+    def checked(batches):
+        import re
+
+        for batch in batches:
+            errors = []
+            for regex in batch["regex"]:
+                try:
+                    re.compile(regex)
+                    errors.append(None)
+                except (re.error, TypeError) as e:
+                    errors.append(str(e))
+            yield batch.assign(error=pd.Series(errors, dtype=object))
+
+    told = patterns.select("pattern", "regex", F.coalesce(F.col("confidence"), F.lit(0.8)).cast("double").alias("confidence")).mapInPandas(checked, "pattern string, regex string, confidence double, error string")
+    good = told.where("error IS NULL").drop("error")
+    whole = good.agg(F.collect_list(F.struct("pattern", "regex", "confidence")).alias("patterns"))  # one row, as long as the registry
+    long = df.select(F.col(key).alias("key"), F.col(content).alias("content")).where("content IS NOT NULL").crossJoin(F.broadcast(whole))
+
+    def found(batches):
+        import re
+        from functools import lru_cache
+
+        compiled = lru_cache(4096)(re.compile)
+        for batch in batches:
+            rows = []
+            for k, text, patterns in zip(batch["key"], batch["content"], batch["patterns"], strict=True):
+                for p in patterns:
+                    line, at = 1, 0
+                    for nth, m in enumerate(compiled(p["regex"]).finditer(text)):
+                        line += text.count("\n", at, m.start())
+                        at = m.start()
+                        rows.append((k, p["pattern"], nth, m.group(), at + 1, line, [g or "" for g in m.groups()], p["confidence"]))
+            yield pd.DataFrame(rows, columns=["key", "pattern", "nth", "match", "offset", "line", "groups", "confidence"])
+
+    kind = df.schema[key].dataType.simpleString()
+    return long.mapInPandas(found, f"key {kind}, pattern string, nth int, match string, offset int, line int, groups array<string>, confidence double"), told.where("error IS NOT NULL").select("pattern", "regex", "error")

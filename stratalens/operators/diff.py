@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+
+from ..sources import work
 from pyspark.sql.window import Window
 
 #: Stages by what their inputs come from; a change reaches all that follow.
@@ -83,9 +85,44 @@ def tree_hashes(files: DataFrame, path: str, digest: str, max_depth: int) -> Dat
     for depth in range(max_depth, 0, -1):
         here = deep.where(F.col("depth") == depth + 1).select("path", "hash")
         here = here if below is None else here.unionByName(below)
-        below = here.groupBy(paths.dirname(F.col("path")).alias("path")).agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("path", "hash"))), lambda x: x["hash"]), ""), 256).alias("hash"))
+        below = _directory_hash(here)
         levels.append(below)
     out = levels[0]
     for level in levels[1:]:
         out = out.unionByName(level)
     return out
+
+
+def _directory_hash(children: DataFrame) -> DataFrame:
+    """path, hash of the directories right above the children (path, hash)."""
+    from ..functions import paths
+
+    own = F.sort_array(F.collect_list(F.struct("path", "hash")))
+    return children.groupBy(paths.dirname(F.col("path")).alias("path")).agg(F.sha2(F.array_join(F.transform(own, lambda x: x["hash"]), ""), 256).alias("hash"))
+
+
+def refreshed_hashes(hashes: DataFrame, before: DataFrame, after: DataFrame, path: str, digest: str, max_depth: int) -> DataFrame:
+    """path, hash as `tree_hashes(after)`, from the hashes of `before`: only directories above changed paths are hashed again.
+
+    Level by level upwards: the directories above a changed entry are joined to their present children, files and
+    directories alike; those whose hash comes out as it was change nothing further up.  A directory without children is gone.
+    """
+    from ..functions import paths
+
+    status = diff(before.select(F.col(path).alias("path"), F.col(digest).alias("hash")), after.select(F.col(path).alias("path"), F.col(digest).alias("hash")), "path", "hash")
+    changed = work.stored(status.where("status <> 'unchanged' AND path LIKE '%/%'").select("path", (F.size(F.split("path", "/")) - 1).alias("depth")), "changed")
+    files = after.select(F.col(path).alias("path"), F.col(digest).alias("hash"), paths.dirname(F.col(path)).alias("parent"))
+    known = hashes.select("path", "hash", paths.dirname(F.col("path")).alias("parent"))
+    fresh = None  # directories hashed again: path, hash (null: gone)
+    for depth in range(max_depth, 0, -1):
+        above = changed.where(F.col("depth") == depth).select(paths.dirname(F.col("path")).alias("path"))
+        if fresh is not None:  # directories one level below that came out otherwise
+            other = fresh.where(F.size(F.split("path", "/")) == depth + 1).join(hashes.withColumnRenamed("hash", "old"), "path", "left").where(~F.col("hash").eqNullSafe(F.col("old")))
+            above = above.unionByName(other.select(paths.dirname(F.col("path")).alias("path")))
+        above = above.distinct()
+        parents = above.withColumnRenamed("path", "parent")
+        below = known if fresh is None else known.join(fresh.select("path"), "path", "left_anti").unionByName(fresh.where("hash IS NOT NULL").withColumn("parent", paths.dirname(F.col("path"))))
+        children = files.unionByName(below).join(parents, "parent", "left_semi").select("path", "hash")
+        level = above.join(_directory_hash(children), "path", "left")
+        fresh = work.stored(level if fresh is None else fresh.unionByName(level), "hashes")
+    return hashes if fresh is None else hashes.join(fresh.select("path"), "path", "left_anti").unionByName(fresh.where("hash IS NOT NULL"))

@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import vectors
+from ..sources import work
 from . import diff, responses, search
+from .cache import ContentCache
 
 #: Requests that are scored against all items at once; more go in further passes.
 REQUESTS = 512
+#: The largest limit of any type; as a literal it lets each task keep that many items a request before the shuffle.
+MOST_FOUND = max(limit for limit, *_ in search.CONTEXT.values())
 #: What a request gets for which nothing is found.
 NOTHING = "(no relevant context)"
 
@@ -25,10 +29,10 @@ def item_id(identifier: Column, name: Column, path: Column) -> Column:
 
 
 class VectorStore:
-    """A table of vectors in a folder; each change writes a new version, readers keep theirs."""
+    """A table of vectors in a folder; each change writes a new version, readers keep theirs while it is among the last `keep`."""
 
-    def __init__(self, spark: SparkSession, root: str, key: str = "id", vector: str = "vector") -> None:
-        self.spark, self.root, self.key, self.vector = spark, root.rstrip("/"), key, vector
+    def __init__(self, spark: SparkSession, root: str, key: str = "id", vector: str = "vector", keep: int = 5) -> None:
+        self.spark, self.root, self.key, self.vector, self.keep = spark, root.rstrip("/"), key, vector, max(2, keep)
 
     def _versions(self) -> list[int]:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
@@ -46,8 +50,22 @@ class VectorStore:
         return self.spark.read.parquet(f"{self.root}/v{versions[-1]}")
 
     def _write(self, rows: DataFrame) -> DataFrame:
+        """A new version.  Its number is claimed by making its folder's mark, which only one writer can; a writer that comes late fails."""
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path
+        fs = hadoop(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration())
         versions = self._versions()
-        search.checked_dimension(rows, self.vector).write.mode("overwrite").parquet(f"{self.root}/v{versions[-1] + 1 if versions else 0}")
+        new = versions[-1] + 1 if versions else 0
+        mark = hadoop(f"{self.root}/claim-{new}")
+        if not fs.createNewFile(mark):
+            raise RuntimeError(f"another writer makes version {new} of {self.root}")
+        try:
+            search.checked_dimension(rows, self.vector).write.mode("overwrite").parquet(f"{self.root}/v{new}")
+        except BaseException:
+            fs.delete(mark, False)
+            raise
+        for old in versions[: max(0, len(versions) + 1 - self.keep)]:
+            fs.delete(hadoop(f"{self.root}/v{old}"), True)
+            fs.delete(hadoop(f"{self.root}/claim-{old}"), False)
         return self.read()
 
     def upsert(self, items: DataFrame) -> DataFrame:
@@ -82,17 +100,21 @@ def retrieve(items: DataFrame, requests: DataFrame, key: str, vector: str, least
     out = None
     for i in range(max(1, passes)):
         part = asked.where(F.pmod(F.xxhash64("request"), F.lit(max(1, passes))) == i) if passes > 1 else asked
-        scored = items.select(key, vector).join(F.broadcast(part)).withColumn("score", F.round(vectors.cosine(F.col(vector), F.col("query")), 6)).where("score >= __least")
+        score = F.round(vectors.cosine(F.col(vector), F.col("query")), 6)
+        # exploded, so that the threshold does not compute the cosine once more
+        scored = items.select(key, vector).join(F.broadcast(part)).select(key, "request", "__limit", "__least", F.explode(F.array(score)).alias("score")).where("score >= __least")
         place = F.row_number().over(Window.partitionBy("request").orderBy(F.desc("score"), key))
-        found = scored.withColumn("rank", place).where("rank <= __limit").select("request", "rank", key, "score")
+        found = scored.withColumn("rank", place).where(F.col("rank") <= MOST_FOUND).where("rank <= __limit").select("request", "rank", key, "score")
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def answers(requests: DataFrame, items: DataFrame, provider: Callable[[list[str]], list[str]], key: str = "id", vector: str = "vector", budget: float = 4000) -> DataFrame:
+def answers(requests: DataFrame, items: DataFrame, provider: Callable[[list[str]], list[str]], key: str = "id", vector: str = "vector", budget: float = 4000, cache: ContentCache | None = None) -> DataFrame:
     """request, prompt, answer, files: retrieval, packing, prompt and the injected provider (list of prompts -> list of answers).
 
-    requests: request, question, query; items: key, vector, file_path, start_line, content.  An empty question is an error of the caller and gets no row.
+    requests: request, question, query; items: key, vector, file_path, start_line, content.  A request with an empty question keeps
+    its row, without prompt and answer.  With a cache (of strings) equal prompts are asked once, known ones not at all, and a
+    prompt for which the provider fails has no answer.
     """
     asked = requests.where(F.trim("question") != "").withColumn("kind", search.question_type(F.col("question")))
     found = retrieve(items, asked, key, vector).join(items.drop(vector), key)
@@ -105,8 +127,13 @@ def answers(requests: DataFrame, items: DataFrame, provider: Callable[[list[str]
             yield pdf
 
     kind = requests.schema["request"].dataType.simpleString()
-    done = rows.mapInPandas(run, f"request {kind}, prompt string, answer string")
-    return done.withColumn("files", responses.files(F.col("answer")))
+    if cache is None:
+        done = rows.mapInPandas(run, f"request {kind}, prompt string, answer string")
+    else:
+        rows = work.stored(rows, "prompts")
+        done = rows.join(cache.through(rows, "request", "prompt", provider).select("request", F.col("value").alias("answer")), "request", "left")
+    empty = requests.where("question IS NULL OR trim(question) = ''").select("request", F.lit(None).cast("string").alias("prompt"), F.lit(None).cast("string").alias("answer"))
+    return done.unionByName(empty).withColumn("files", responses.files(F.col("answer")))
 
 
 def relations(edges: DataFrame, component: str, kinds: list[str] | None = None, depth: int = 1) -> DataFrame:

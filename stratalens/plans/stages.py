@@ -35,11 +35,11 @@ class Stage:
 
 @dataclass
 class Tables:
-    """The tables under one root, by their segments: (rows, keys that hide older rows of them, the key's name)."""
+    """The tables under one root, by their segments: (rows, keys that hide older rows of them, the key's name, number of keys)."""
 
     spark: SparkSession
     root: str
-    segments: dict[str, list[tuple[str, str | None, str | None]]] = field(default_factory=dict)
+    segments: dict[str, list[tuple[str, str | None, str | None, int]]] = field(default_factory=dict)
     digests: dict[str, str] = field(default_factory=dict)
 
     @classmethod
@@ -53,9 +53,12 @@ class Tables:
 
     def read(self, name: str) -> DataFrame:
         out = None
-        for rows, keys, key in self.segments[name]:
+        for rows, keys, key, n in self.segments[name]:
             own = self.spark.read.parquet(rows)
-            out = own if out is None else out.join(_small(self.spark.read.parquet(keys)), key, "left_anti").unionByName(own)
+            if out is not None:
+                hidden = self.spark.read.parquet(keys)
+                own = out.join(F.broadcast(hidden) if n <= SMALL_KEYS else hidden, key, "left_anti").unionByName(own)
+            out = own
         return out
 
     def all(self) -> dict[str, DataFrame]:
@@ -63,27 +66,25 @@ class Tables:
 
     def whole(self, name: str, df: DataFrame) -> None:
         df.write.parquet(f"{self.root}/{name}")
-        self.segments[name] = [(f"{self.root}/{name}", None, None)]
+        self.segments[name] = [(f"{self.root}/{name}", None, None, 0)]
 
-    def delta(self, name: str, df: DataFrame, key: str, keys: str, before: list) -> None:
+    def delta(self, name: str, df: DataFrame, key: str, keys: str, n: int, before: list) -> None:
         """The rows of some keys, on top of the segments before."""
         df.write.parquet(f"{self.root}/{name}")
-        self.segments[name] = [*before, (f"{self.root}/{name}", keys, key)]
+        self.segments[name] = [*before, (f"{self.root}/{name}", keys, key, n)]
         if len(self.segments[name]) > MOST_SEGMENTS:
             self.read(name).write.parquet(f"{self.root}/{name}-whole")
-            self.segments[name] = [(f"{self.root}/{name}-whole", None, None)]
+            self.segments[name] = [(f"{self.root}/{name}-whole", None, None, 0)]
 
-    def digest(self, name: str, columns: tuple[str, ...]) -> str:
-        """Number of rows and sum of their hashes over some columns."""
-        known = f"{name}:{','.join(columns)}"
-        if known not in self.digests:
-            row = F.xxhash64(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})).cast("decimal(38,0)")
-            self.digests[known] = "{n} {s}".format(**self.read(name).agg(F.count("*").alias("n"), F.sum(row).alias("s")).first().asDict())
-        return self.digests[known]
-
-
-def _small(keys: DataFrame) -> DataFrame:
-    return F.broadcast(keys) if keys.count() <= SMALL_KEYS else keys
+    def digest(self, name: str, columns: tuple[str, ...], others: Iterable[tuple[str, ...]] = ()) -> str:
+        """Number of rows and sum of their hashes over some columns; other sets of columns are taken in the same pass."""
+        label = lambda c: f"{name}:{','.join(c)}"
+        if label(columns) not in self.digests:
+            wanted = sorted({columns, *others})
+            row = [F.xxhash64(F.to_json(F.struct(*c), {"ignoreNullFields": "false"})).cast("decimal(38,0)") for c in wanted]
+            n, *sums = self.read(name).agg(F.count("*"), *map(F.sum, row)).first()
+            self.digests |= {label(c): f"{n} {s}" for c, s in zip(wanted, sums, strict=True)}
+        return self.digests[label(columns)]
 
 
 class Graph:
@@ -122,10 +123,17 @@ class Graph:
                 out.append(stage.name)
         return out
 
+    def _read_sets(self) -> dict[str, set[tuple[str, ...]]]:
+        """table -> the sets of columns that stages without a key read."""
+        out: dict[str, set[tuple[str, ...]]] = {}
+        for stage in self.stages.values():
+            for table, columns in stage.needs.items() if stage.key is None else ():
+                out.setdefault(table, set()).add(columns)
+        return out
+
     def _digests(self, tables: Tables) -> None:
-        wanted = {(t, c) for s in self.stages.values() if s.key is None for t, c in s.needs.items()}
         with ThreadPoolExecutor(AT_ONCE) as pool:
-            list(pool.map(lambda x: tables.digest(*x), sorted(wanted)))
+            list(pool.map(lambda x: tables.digest(x[0], min(x[1]), x[1]), self._read_sets().items()))
 
     def build(self, sources: Mapping[str, DataFrame], spark: SparkSession, root: str) -> Tables:
         """Every table, written under a new root."""
@@ -146,13 +154,14 @@ class Graph:
         without a key are given whole if they are in `rows`, else they stay.
         """
         spark = before.spark
-        tables, ran = Tables(spark, root), []
+        tables, ran, sets = Tables(spark, root), [], self._read_sets()
         touched.select(key).distinct().write.parquet(f"{root}/touched")
         keys = f"{root}/touched"
+        n = spark.read.parquet(keys).count()
         fresh: dict[str, DataFrame] = {}  # the touched keys' rows of keyed tables
         for name, own in self.sources.items():
             if own == key:
-                tables.delta(name, rows[name], key, keys, before.segments[name])
+                tables.delta(name, rows[name], key, keys, n, before.segments[name])
                 fresh[name] = spark.read.parquet(f"{root}/{name}")
             elif name in rows:
                 tables.whole(name, rows[name])
@@ -163,9 +172,9 @@ class Graph:
             if stage.name not in before.segments:
                 tables.whole(stage.name, stage.run({t: tables.read(t) for t in stage.needs}))
             elif stage.key == key and all(t in fresh for t in stage.needs):
-                tables.delta(stage.name, stage.run({t: fresh[t] for t in stage.needs}), key, keys, before.segments[stage.name])
+                tables.delta(stage.name, stage.run({t: fresh[t] for t in stage.needs}), key, keys, n, before.segments[stage.name])
                 fresh[stage.name] = spark.read.parquet(f"{root}/{stage.name}")
-            elif all(tables.segments[t] == before.segments[t] or tables.digest(t, c) == before.digest(t, c) for t, c in stage.needs.items()):
+            elif all(tables.segments[t] == before.segments[t] or tables.digest(t, c, sets[t]) == before.digest(t, c, sets[t]) for t, c in stage.needs.items()):
                 tables.segments[stage.name] = before.segments[stage.name]
                 return None
             else:
@@ -175,6 +184,7 @@ class Graph:
         for level in self.levels():
             with ThreadPoolExecutor(AT_ONCE) as pool:
                 ran += filter(None, pool.map(advance, level))
+        tables.digests = {k: v for k, v in before.digests.items() if tables.segments.get(k.split(":", 1)[0]) == before.segments.get(k.split(":", 1)[0])} | tables.digests
         self._digests(tables)
         tables.save()
         return tables, ran

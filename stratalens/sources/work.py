@@ -20,11 +20,16 @@ def root(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when the driver's JVM ends."""
+    own = f"{root(spark)}/stratalens/{name}-{uuid.uuid4().hex}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(own)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return own
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows as a written table, so that lineage ends there and nothing is lost with an executor; deleted when the driver's JVM ends."""
-    spark = df.sparkSession
-    path = f"{root(spark)}/stratalens/{name}-{uuid.uuid4().hex}"
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    own = path(df.sparkSession, name)
+    df.write.parquet(own)
+    return df.sparkSession.read.schema(df.schema).parquet(own)

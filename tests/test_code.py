@@ -74,6 +74,13 @@ def test_store_keeps_versions_and_dimension(spark, tmp_path):
     with pytest.raises(ValueError, match="dimensions"):
         store.upsert(frame(item("d", 1, 2, 3)))
     assert rows(store.read(), "id") == [("b",), ("c",)]
+    short = retrieval.VectorStore(spark, str(tmp_path / "short"), keep=2)
+    for k in range(4):
+        short.upsert(frame(item(str(k), k, 1)))
+    assert len(short._versions()) == 2 and short.read().count() == 4
+    (tmp_path / "short" / "claim-4").touch()  # another writer is at it
+    with pytest.raises(RuntimeError, match="another writer"):
+        short.upsert(frame(item("x", 1, 1)))
 
 
 def test_answers_name_the_files_of_their_context(spark):
@@ -84,7 +91,7 @@ def test_answers_name_the_files_of_their_context(spark):
         return [f"FILE: src/f{p.count('line')}.py" if "src/f1.py" in p else "none" for p in prompts]
 
     got = {r.request: r for r in retrieval.answers(asked, items, provider).collect()}
-    assert set(got) == {1, 3}
+    assert set(got) == {1, 2, 3} and got[2].prompt is got[2].answer is None
     assert "src/f1.py" in got[1].prompt and got[1].files == ["src/f12.py"]
     assert retrieval.NOTHING in got[3].prompt and got[3].files == []
 

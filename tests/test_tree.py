@@ -3,7 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from stratalens.operators import clustering, dataflow
+from stratalens.functions import text
+from stratalens.operators import cache, clustering, dataflow, diff, retrieval
+from stratalens.plans import stages
 from stratalens.plans.stages import Graph, Stage, Tables
 from stratalens.sources import nodes, tree, walk
 
@@ -171,7 +173,7 @@ def counts(name, needs, column):
     return Stage(name, {needs: (column,)}, lambda t: t[needs].groupBy(column).agg(F.count("*").alias("n")))
 
 
-def test_stage_graphs(spark, tmp_path):
+def test_stage_graphs(spark, tmp_path, monkeypatch):
     given = lambda *x: spark.createDataFrame(list(x), "path string, kind string, text string")
     words = Stage("words", {"files": ("path", "text")}, lambda t: t["files"].select("path", F.explode(F.split("text", " ")).alias("word")), "path")
     graph = Graph({"files": "path"}, [counts("per_word", "words", "word"), words, counts("kinds", "files", "kind")])
@@ -193,11 +195,12 @@ def test_stage_graphs(spark, tmp_path):
     three, ran = change("2", "3", ["b", "d"], ("d", "m", "x"))  # b is gone
     assert ran == ["words", "kinds", "per_word", "top"] and rows(three.read("top"), "word", "n") == [("x", 2)]
     before = "3"
-    for k in range(4, 16):  # compaction on the way
+    monkeypatch.setattr(stages, "MOST_SEGMENTS", 3)
+    for k in range(4, 8):  # compaction on the way
         now, _ = change(before, str(k), [f"e{k}"], (f"e{k}", "m", f"w{k % 2}"))
         before = str(k)
-    assert max(len(s) for s in now.segments.values()) <= 8
-    assert dict(rows(now.read("per_word"), "word", "n")) == {"x": 2, "y": 1, "w0": 6, "w1": 6}
+    assert max(len(s) for s in now.segments.values()) <= 3
+    assert dict(rows(now.read("per_word"), "word", "n")) == {"x": 2, "y": 1, "w0": 2, "w1": 2}
 
 
 def test_similar_names_against_all_pairs(spark):
@@ -221,3 +224,100 @@ def test_similar_names_against_all_pairs(spark):
 def test_types_change_along_flows(spark):
     df = spark.createDataFrame([("a", ["map"]), ("a[]", ["map"]), ("a[]", ["filter", "reduce"]), ("a[][]", ["reduce"]), ("a", ["reduce", "format"]), ("a", ["format"]), ("a", ["transform"]), ("a", [])], "t string, x array<string>")
     assert [r.y for r in df.select(dataflow.transformed_type(F.col("t"), F.col("x")).alias("y")).collect()] == ["a[]", "a[]", "a[]", "a[]", "a", "string", "string", "a"]
+
+
+def greedy_linkage(sims, n, least, most=None):
+    """One merge at a time, the most similar two."""
+    clusters = {i: [i] for i in range(n)}
+    mean = lambda x, y: sum(sims.get((min(a, b), max(a, b)), 0.0) for a in clusters[x] for b in clusters[y]) / (len(clusters[x]) * len(clusters[y]))
+    while len(clusters) > 1:
+        best = max(((mean(x, y), -x, -y) for x in clusters for y in clusters if x < y))
+        if best[0] < least:
+            break
+        clusters[-best[1]] += clusters.pop(-best[2])
+        if most is not None and len(clusters) <= most:
+            break
+    return sorted((min(c), x) for c in clusters.values() if len(c) > 1 for x in c)
+
+
+def test_linkage_in_rounds_equals_the_greedy(spark):
+    import random
+
+    rng = random.Random(3)
+    all_pairs, all_nodes, want, cut = [], [], {}, {}
+    for block in "xy":
+        sims = {(a, b): rng.random() for a in range(14) for b in range(a + 1, 14) if rng.random() < 0.7}
+        all_pairs += [(block, *((b, a) if rng.random() < 0.5 else (a, b)), s) for (a, b), s in sims.items()]
+        all_nodes += [(block, i) for i in range(14)]
+        want[block], cut[block] = greedy_linkage(sims, 14, 0.3), greedy_linkage(sims, 14, 0.3, 9)
+    pairs, given = spark.createDataFrame(all_pairs, "block string, a long, b long, sim double"), spark.createDataFrame(all_nodes, "block string, node long")
+    for expected, options in ((want, {}), (cut, {"stop": "reference", "most": 9})):
+        got = rows(clustering.hierarchical(pairs, given, "block", 0.3, **options), "block", "cluster", "node")
+        assert set(got) == {(b, *x) for b in "xy" for x in expected[b]} and len(got) == sum(map(len, expected.values()))
+    assert clustering.hierarchical(pairs.where("false"), given, "block").count() == 0
+
+
+def test_cache_asks_once_and_keeps_failures(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    def provider(texts):
+        calls.add(len(texts))
+        if "bad" in texts:
+            raise ValueError("no")
+        return [[float(len(x)), 1.0] for x in texts]
+
+    store = cache.ContentCache(spark, str(tmp_path / "cache"))
+    items = spark.createDataFrame([(1, "a"), (2, "bb"), (3, "a"), (4, "bad"), (5, ""), (6, None), (7, "  ")], "id long, text string").coalesce(1)
+    got = {r.id: r for r in store.through(items, "id", "text", provider).collect()}
+    assert set(got) == {1, 2, 3, 4} and got[1].value == got[3].value == [1.0, 1.0] and not any(r.cached for r in got.values())
+    assert got[4].value is None and got[4].error == "ValueError: no"
+    calls.value = 0
+    again = {r.id: r for r in store.through(items.where("text <> 'bad'"), "id", "text", provider).collect()}
+    assert calls.value == 0 and all(r.cached for r in again.values()) and again[2].value == [2.0, 1.0]
+    store.through(spark.createDataFrame([(9, "ccc")], "id long, text string"), "id", "text", provider)
+    store.through(items.where("id = 2"), "id", "text", provider)
+    assert sorted(r.value[0] for r in store.evict(2).collect()) == [2.0, 3.0]
+    assert store.through(items.where("id = 1"), "id", "text", provider).first().cached is False
+    wrong = cache.ContentCache(spark, str(tmp_path / "wrong"))
+    assert wrong.through(items.where("id = 2"), "id", "text", lambda texts: [] if len(texts) else None).first().error.startswith("IndexError")
+
+
+def test_cached_answers_are_asked_once(spark, tmp_path):
+    items = spark.createDataFrame([(i, [1.0, i / 10], f"src/f{i}.py", i, f"line {i}") for i in range(4)], "id long, vector array<double>, file_path string, start_line int, content string")
+    asked = spark.createDataFrame([(k, q, [1.0, 0.1]) for k, q in enumerate(["fix this bug", "fix this bug", None])], "request long, question string, query array<double>")
+    calls = spark.sparkContext.accumulator(0)
+
+    def provider(prompts):
+        calls.add(len(prompts))
+        return ["FILE: src/f1.py" for _ in prompts]
+
+    store = cache.ContentCache(spark, str(tmp_path / "answers"), "string")
+    for _ in range(2):
+        got = {r.request: (r.answer, r.files) for r in retrieval.answers(asked, items, provider, cache=store).collect()}
+        assert got[0] == got[1] == ("FILE: src/f1.py", ["src/f1.py"]) and got[2][0] is None
+    assert calls.value == 1
+
+
+def test_patterns_from_a_table(spark):
+    df = spark.createDataFrame([(1, "import a\nimport b as c\n"), (2, None), (3, "")], "k long, code string")
+    table = spark.createDataFrame([("import", r"import (\w+)(?: as (\w+))?", 0.9), ("bad", "[", 0.9), ("none", None, 0.1), ("empty", r"^", None)], "pattern string, regex string, confidence double")
+    found, bad = text.all_matches(df, "k", "code", table)
+    assert rows(found.where("pattern = 'import'"), "key", "nth", "match", "offset", "line", "groups") == [(1, 0, "import a", 1, 1, ["a", ""]), (1, 1, "import b as c", 10, 2, ["b", "c"])]
+    assert rows(found.where("pattern = 'empty'"), "key", "confidence") == [(1, 0.8), (3, 0.8)]
+    assert rows(bad, "pattern") == [("bad",), ("none",)]
+    assert text.all_matches(df, "k", "code", table.where("pattern = 'bad'"))[0].count() == 0
+
+
+def test_refreshed_hashes_after_random_edits(spark):
+    import random
+    from hashlib import sha256
+
+    rng = random.Random(5)
+    frame = lambda d: spark.createDataFrame(sorted((p, sha256(x.encode()).hexdigest()) for p, x in d.items()), "path string, hash string")
+    before = {f"r/{rng.choice('abc')}/{rng.choice('de')}/{i}" if i % 4 else f"r/{rng.choice('abc')}/{i}" for i in range(40)}
+    before = dict.fromkeys(before, "x")
+    for _ in range(3):
+        after = {p: (x + "y" if rng.random() < 0.1 else x) for p, x in before.items() if rng.random() < 0.9 and not p.startswith("r/b/d/")} | {f"r/new{rng.randint(0, 9)}/f": "z", "top": "t"}
+        got = diff.refreshed_hashes(diff.tree_hashes(frame(before), "path", "hash", 3), frame(before), frame(after), "path", "hash", 3)
+        assert rows(got, "path", "hash") == rows(diff.tree_hashes(frame(after), "path", "hash", 3).where("path <> ''"), "path", "hash")
+        before = after
