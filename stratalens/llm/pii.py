@@ -62,6 +62,10 @@ AT_WORDS, DOT_WORDS, PLUS_WORDS = "at", "dot|punkt|punto|point", "plus|más|mas"
 TOP_LABELS = frozenset("com org net edu gov mil info biz int dev app xyz uk eu de fr es ch nl pl ru jp cn ca au br mx pt se dk fi cz gr ie nz kr ar cl".split())
 NO_LABELS = frozenset("the a an this that these those his her its our your my their every each some any no one what which der die das dem den ein eine le la les un une el los las una".split())
 
+# Words before a bare "at" that are no mailbox, and words before "plus" that make it a sum.
+NO_LOCALS = frozenset("look looking looks see find found visit meet meets here there us me you him them it is are was were be been located available hosted".split())
+NO_PLUS = frozenset("add adds adding added and is equals makes sum of a the".split())
+
 _NUMBER = "|".join(sorted(NUMBER_OF, key=len, reverse=True))
 #: Characters that a transducer may change.
 STRANGE = re.compile("[^\x00-\x7f¡-©«¬®-±´-¶¸»-ÿ]")
@@ -71,6 +75,13 @@ BARE_DOT = re.compile(rf" (?:{DOT_WORDS}) ", re.I)
 SPELLED = re.compile(rf"(?<!\w)(?:(?:{PLUS_WORDS}|\+)[ \t]*)?(?:{_NUMBER})(?:[ \t.,-]{{1,3}}(?:{_NUMBER}|{DOT_WORDS}|[0-9]+)(?!\w)){{3,}}", re.I)
 #: Number words, digits and words for "dot" in any order.
 MIXED = re.compile(rf"(?:(?<!\w)(?:{PLUS_WORDS})[ \t]{{0,3}}|\+[ \t]{{0,3}})?(?:(?<![0-9])[0-9]++|(?<!\w)(?:{_NUMBER})(?![^\W\d]))(?:[ \t.,()-]{{0,4}}(?:[0-9]++|(?:{_NUMBER}|{DOT_WORDS})(?![^\W\d])))++", re.I)
+#: What MIXED and SPELLED are made of; two such pieces, one of them a word, must stand side by side.
+PIECE = re.compile(r"[^\W\d_]+|[0-9]+")
+PIECE_WORDS = frozenset([*NUMBER_OF, *DOT_WORDS.split("|"), *PLUS_WORDS.split("|")])
+#: Letters that ignoring case takes for others.
+FOLDED = re.compile("[\u0131\u0130\u017f\u212a]")
+SENTENCE_END = re.compile(r"(?<![ \t])\.[ \t]")
+LAST_WORD = re.compile(r"(\w+)\W*\Z")
 LABEL = re.compile("[A-Za-z0-9-]+")
 LETTER = re.compile(r"[^\W\d]")
 PART = re.compile(rf"(?P<number>{_NUMBER})|(?P<dot>{DOT_WORDS})|(?P<plus>{PLUS_WORDS}|\+)|(?P<digits>[0-9]+)|(?P<gap>[ \t.,()-]+)", re.I)
@@ -150,8 +161,26 @@ class Traced:
         self.text, self.starts, self.ends = "".join(text), starts + self.starts[at:], ends + self.ends[at:]
 
 
+def _has_words(text: str) -> bool:
+    """Whether a number word, or one for dot or plus, stands beside another such word or digits: else no run can be there."""
+    if FOLDED.search(text):
+        return True
+    pieces = PIECE.findall(text.lower())
+    for i in [i for i, p in enumerate(pieces) if p in PIECE_WORDS]:
+        for other in (pieces[i - 1] if i else "", pieces[i + 1] if i + 1 < len(pieces) else ""):
+            if other in PIECE_WORDS or other.isdigit():
+                return True
+    return False
+
+
+def _sum(text: str, at: int) -> bool:
+    """Whether the word "plus" at this place adds: after a number or a word that says so."""
+    before = LAST_WORD.search(text, max(0, at - 40), at)
+    return bool(before) and ((word := before.group(1).lower()) in NO_PLUS or word in NUMBER_OF or word.isdigit())
+
+
 def _spelled(m: re.Match) -> list[tuple[int, int, str]]:
-    """Edits that turn a run of number words into digits; what parts two of them goes, unless it is a dot."""
+    """Edits that turn a run of number words into digits; what parts two of them goes, unless it is a dot.  A full stop that ends a sentence stays."""
     out = []
     for p in PART.finditer(m.group()):
         a, b = m.start() + p.start(), m.start() + p.end()
@@ -160,8 +189,9 @@ def _spelled(m: re.Match) -> list[tuple[int, int, str]]:
         elif p["dot"]:
             out.append((a, b, "."))
         elif p["plus"]:
-            out.append((a, b, "+"))
-        elif p["gap"]:
+            if p["plus"] == "+" or not _sum(m.string, a):
+                out.append((a, b, "+"))
+        elif p["gap"] and not SENTENCE_END.search(p["gap"]):
             out.append((a, b, "." if "." in p["gap"] else ""))
     return out
 
@@ -193,7 +223,7 @@ def deobfuscated(text: str) -> list[Traced]:
             traced = traced or Traced(text)
             traced.rewrite(edits)
     text = traced.text if traced else text
-    spelled, mixed = _digits(text), _mixed(text)
+    spelled, mixed = (_digits(text), _mixed(text)) if _has_words(text) else ([], [])
     if not spelled and not mixed:
         return [traced] if traced else []
     out = []
@@ -224,6 +254,8 @@ def _bare(text: str, source: str, traced: Traced | None) -> list[tuple[int, int,
     out = []
     for m in BARE.finditer(text):
         bare = m["at"] != "@"
+        if bare and text[m.start() : m.start("at")].lower() in NO_LOCALS:
+            continue
         start, end = m.end("at"), m.end()
         dots = list(BARE_DOT.finditer(text, start, end))
         if dots:  # the domain ends with the last label that can end one

@@ -328,3 +328,21 @@ def test_non_negative_risk_finds_the_words():
     model = toxicity.fit(positive, unlabelled, 0.1)
     score = lambda t: model.bias + sum(model.weights.get(f, 0) for w in toxicity.words(t) for f in toxicity.features(w))
     assert score(text(True)) > 0 > score(text(False))
+
+
+@pytest.mark.parametrize("text", ["one two three four. five. six. seven. eight", "Look at example dot com for more", "add plus one two three four five six seven eight nine ten", "two plus one two three four five six seven eight nine", "Er sah eins. Zwei. Drei. Vier kamen", "uno. dos. tres. cuatro. cinco", "un deux trois. quatre. cinq. six", "We saw one two three. Four five. Six seven. Eight nine came"])
+def test_prose_with_number_words_has_no_spans(text):
+    assert pii.spans(text)[1] == []
+
+
+@pytest.mark.parametrize(("text", "want"), [("call plus four nine one two three four five six seven eight", "phone:5:59"), ("bob at example dot com", "email:0:22"), ("one nine two . one six eight . zero . one", "ip:0:41"), ("one nine two.one six eight.zero.one", "ip:0:35"), ("plus 49 30 one two three four five", "phone:0:34")])
+def test_disguises_are_still_found(text, want):
+    assert pii.written(pii.spans(text)[1]) == want
+
+
+def test_texts_without_number_words_need_no_transducer():
+    rng = random.Random(12)
+    parts = ["one", "two", "nine", "dot", "plus", "at", "1", "22", "192", ".", " ", ", ", "-", "bob", "com", "Dreı", "six", "ſix", " . ", "+", "x", "eins", "un"]
+    for _ in range(5000):
+        text = "".join(rng.choice(parts) + rng.choice(["", " ", "."]) for _ in range(rng.randint(1, 14)))
+        assert pii._has_words(text) or not (pii._digits(text) or pii._mixed(text))
