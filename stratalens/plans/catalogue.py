@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hashes, names, paths, scores, text, vectors
 from ..operators import aggregates, clustering, dataflow, dependencies, diff, relationships, search
+from ..sources import tree
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 
 FLAGSHIP = "vector_topk"
@@ -130,7 +131,8 @@ def user_dominant_event(t):
 
 @query("SELECT doc_id, len(string_split(text, chr(10)))::INT AS line_count, length(text)::BIGINT AS chars, strlen(text)::BIGINT AS bytes FROM documents")
 def line_counts(t):
-    return t("documents").select("doc_id", F.size(F.split("text", "\n")).alias("line_count"), F.length("text").cast("long").alias("chars"), F.octet_length("text").cast("long").alias("bytes"))
+    rows = t("documents").select("doc_id", F.concat(F.lit("docs/"), "doc_id", F.lit(".md")).alias("path"), F.col("text").alias("content"))
+    return tree.describe(rows).select("doc_id", "line_count", F.length("content").cast("long").alias("chars"), F.octet_length("content").cast("long").alias("bytes"))
 
 
 # hashes and differences
@@ -357,8 +359,8 @@ def url_parts(t):
     SELECT h.href, count(p.page_id) AS pages FROM h LEFT JOIN p ON p.dir = h.href GROUP BY h.href""")
 def href_resolution(t):
     links = text.matches(t("pages"), "html", {"href": 'href="([^"]*)"'}, ["page_id"]).where("startswith(found, '/')").select(F.col("found").alias("href")).distinct()
-    own = t("pages").groupBy(F.regexp_extract("url", r"^[a-z]+://[^/?#]+(/[^/?#]+)", 1).alias("href")).agg(F.count("*").alias("n"))
-    return links.join(own, "href", "left").select("href", F.coalesce("n", F.lit(0)).alias("pages"))
+    own = t("pages").select(F.regexp_extract("url", r"^[a-z]+://[^/?#]+(/[^/?#]+)", 1).alias("href"), F.col("page_id").alias("definition"))
+    return relationships.resolve_names(links, own, "href").select("href", F.col("candidates").alias("pages")).distinct()
 
 
 @query(r"SELECT page_id, lower(regexp_extract(html, '(?i)^<!DOCTYPE\s+(\w+)', 1)) AS doctype, len(regexp_extract_all(html, '<p[ >]'))::INT AS paragraphs FROM pages")
@@ -528,6 +530,16 @@ def event_metrics(t):
     return t("events").groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), F.count("*").alias("n"))
 
 
+@query("""WITH n AS (SELECT DISTINCT user_id, ['source', 'sink', 'transformer', 'store'][user_id % 4 + 1] AS role FROM events)
+    SELECT (SELECT count(*) FROM n WHERE role = 'source') AS sources, (SELECT count(*) FROM n WHERE role = 'sink') AS sinks, (SELECT count(*) FROM n WHERE role = 'transformer') AS transformers, (SELECT count(*) FROM n WHERE role = 'store') AS stores,
+        count(*) AS flows, count_if(event_type = 'click') AS async_flows, count_if(value > 100) AS conditional_flows FROM events""")
+def flow_metrics(t):
+    """Nodes by role, and flows of each kind."""
+    roles = F.array(*map(F.lit, ("source", "sink", "transformer", "store")))
+    users = t("events").select("user_id", F.element_at(roles, (F.col("user_id") % 4 + 1).cast("int")).alias("role")).distinct()
+    return dataflow.role_metrics(users, t("events").select((F.col("event_type") == "click").alias("is_async"), (F.col("value") > 100).alias("is_conditional")))
+
+
 @query("SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]), 6) AS norm2 FROM embeddings")
 def vector_norms(t):
     return t("embeddings").select("vec_id", F.round(vectors.dot(F.col("embedding"), F.col("embedding")), 6).alias("norm2"))

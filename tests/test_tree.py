@@ -321,3 +321,27 @@ def test_refreshed_hashes_after_random_edits(spark):
         got = diff.refreshed_hashes(diff.tree_hashes(frame(before), "path", "hash", 3), frame(before), frame(after), "path", "hash", 3)
         assert rows(got, "path", "hash") == rows(diff.tree_hashes(frame(after), "path", "hash", 3).where("path <> ''"), "path", "hash")
         before = after
+
+
+def test_vector_pairs_in_parts(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(size=(60, 5)).round(2).tolist() + [[0.0] * 5, [float("nan")] * 5, None]
+    df = spark.createDataFrame([(i, "xy"[i % 2], v) for i, v in enumerate(vectors)], "k long, g string, v array<double>")
+    own = {i: np.array(v) for i, v in enumerate(vectors[:60])}
+    want = {(a, b, round(float(own[a] @ own[b] / np.linalg.norm(own[a]) / np.linalg.norm(own[b])), 6)) for a in own for b in own if a < b and a % 2 == b % 2}
+    want = {x for x in want if x[2] >= 0.5}
+    for size in (4096, 7):
+        monkeypatch.setattr(clustering, "PART_ROWS", size)
+        got = rows(clustering.vector_pairs(df, "k", "v", 0.5, ["g"]), "a", "b", "sim")
+        assert set(got) == want and len(got) == len(want)
+    with pytest.raises(ValueError):
+        clustering.vector_pairs(df, "k", "v", 0.0, ["g"])
+
+
+def test_kmeans_gives_every_vector_a_near_centre(spark):
+    points = [(i, [float(10 * (i % 3)) + i / 100, 0.0]) for i in range(30)]
+    got = dict(rows(clustering.kmeans(spark.createDataFrame(points, "k long, v array<double>"), "k", "v", 3, seed=1), "k", "cluster"))
+    assert set(got) == set(range(30)) and len(set(got.values())) == 3
+    assert all((got[a] == got[b]) == (a % 3 == b % 3) for a in got for b in got)
