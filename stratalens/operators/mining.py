@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import text
 from ..functions.names import first_of
 
 # Evidence of paradigms, and of languages where the extension tells none, in order.
@@ -121,7 +122,7 @@ def specifier(statement: Column) -> Column:
 
 def first_lines(content: Column, pattern: str, most: int = 5) -> Column:
     """The first trimmed lines that match."""
-    return F.slice(F.filter(F.transform(F.split(content, "\n"), F.trim), lambda x: x.rlike(pattern)), 1, most)
+    return F.slice(F.filter(F.transform(F.split(content, "\n"), lambda x: F.trim(x)), lambda x: x.rlike(pattern)), 1, most)
 
 
 def structure_counts(content: Column) -> list[Column]:
@@ -137,3 +138,26 @@ def eligible(files: DataFrame, observed: DataFrame) -> DataFrame:
         part = files.join(seen, by).select(*files.columns, "pattern")
         found = part if found is None else found.unionByName(part)
     return found.distinct()
+
+
+def mined_statements(found: DataFrame) -> DataFrame:
+    """pattern, regex, type, confidence: lines that begin with a word of import or export, each in its general form.  found: line."""
+    kind = first_of([(F.col("line").rlike(r"^(import|from|require|use|include)\b"), "import"), (F.col("line").rlike(r"^(export|module\.exports)\b"), "export")])
+    return found.select(kind.alias("type"), generalised(F.col("line")).alias("regex")).where("type IS NOT NULL").distinct().select(F.sha2("regex", 256).alias("pattern"), "regex", "type", F.lit(0.8).alias("confidence"))
+
+
+def statements(files: DataFrame, patterns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(imports: path, line, module, confidence; exports: path, line, confidence) by mined patterns (pattern, regex, type, confidence).
+
+    A statement that several patterns match is one row with the best confidence; an import that names no module is none.
+    """
+    found, _ = text.all_matches(files, "path", "content", patterns)
+    typed = found.join(F.broadcast(patterns.select("pattern", "type")), "pattern")  # as long as the registry
+    imports = typed.where("type = 'import'").withColumn("module", specifier(F.col("match"))).where("module IS NOT NULL")
+    rows = imports.groupBy(F.col("key").alias("path"), "line", "module").agg(F.max("confidence").alias("confidence"))
+    return rows, typed.where("type = 'export'").groupBy(F.col("key").alias("path"), "line").agg(F.max("confidence").alias("confidence"))
+
+
+def connections(imports: DataFrame) -> DataFrame:
+    """path, module: what each file is connected to."""
+    return imports.select("path", "module").distinct()

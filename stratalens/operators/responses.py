@@ -81,3 +81,23 @@ def guidance(answers: DataFrame, key: str, answer: str) -> DataFrame:
 def advice(found: DataFrame) -> DataFrame:
     """The recommendations (see above) that begin with a verb of advice."""
     return found.where(F.col("recommendation").rlike("^(" + "|".join(ADVICE) + ")"))
+
+
+def recommended(answer: Column) -> Column:
+    """The list items below a heading "Recommendations"; without one, all list items that begin with a verb of advice."""
+    item = F.lit(r"(?m)^\s*(?:[-*]|\d+[.)])\s+(.+)$")
+    section = F.regexp_extract(answer, r"(?ims)^(?:#{2,3}\s*Recommendations|Recommendations:)[^\n]*\n(.*?)(?=^#{2,3}|\z)", 1)
+    advised = F.filter(F.regexp_extract_all(answer, item, F.lit(1)), lambda x: x.rlike("^(" + "|".join(ADVICE) + ")"))
+    return F.transform(F.when(section != "", F.regexp_extract_all(section, item, F.lit(1))).otherwise(advised), lambda x: F.trim(x))
+
+
+def aspect_prompt(aspect: Column, depth: Column, focus: Column, context: Column) -> Column:
+    """What to analyse, how deeply (1 to 3, 2 if null), with which focus, over the packed context."""
+    how = F.when(F.coalesce(depth, F.lit(2)) == 1, "in outline").when(F.coalesce(depth, F.lit(2)) == 2, "in moderate detail").otherwise("in full detail")
+    on = F.when(F.coalesce(focus, F.lit("")) != "", F.concat(F.lit("\nFocus: "), focus)).otherwise("")
+    return F.concat(F.lit("Aspect: "), aspect, F.lit("\nAnalyse it "), how, F.lit(", then list actions to recommend."), on, F.lit("\n\nContext:\n"), F.coalesce(context, F.lit(NO_CONTEXT)))
+
+
+def standards_prompt(category: Column, patterns: Column, context: Column) -> Column:
+    """Which standards to find (null: all), the patterns known, and the packed context."""
+    return F.concat(F.lit("Standards: "), F.coalesce(category, F.lit("all")), F.lit("\nFor each: what it is, examples, violations.\n\nPatterns:\n"), F.coalesce(patterns, F.lit("none")), F.lit("\n\nContext:\n"), F.coalesce(context, F.lit(NO_CONTEXT)))

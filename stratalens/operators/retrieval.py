@@ -136,6 +136,44 @@ def answers(requests: DataFrame, items: DataFrame, provider: Callable[[list[str]
     return done.unionByName(empty).withColumn("files", responses.files(F.col("answer")))
 
 
+def _context(asked: DataFrame, items: DataFrame, key: str, vector: str, budget: float) -> DataFrame:
+    """asked (request, kind, query and more) with the packed context of each."""
+    found = retrieve(items, asked.select("request", "kind", "query"), key, vector).join(items.drop(vector), key)
+    packed = search.pack_context(found.select("request", "rank", "file_path", "start_line", "content"), budget)
+    return asked.join(packed, "request", "left")
+
+
+def _answered(rows: DataFrame, provider: Callable[[list[str]], list[str]], cache: ContentCache) -> DataFrame:
+    """rows with the answer to their prompt; null where the provider fails."""
+    rows = work.stored(rows, "prompts")
+    return rows.join(cache.through(rows, "request", "prompt", provider).select("request", F.col("value").alias("answer")), "request", "left")
+
+
+def aspects(requests: DataFrame, items: DataFrame, provider: Callable[[list[str]], list[str]], cache: ContentCache, key: str = "id", vector: str = "vector", budget: float = 6000) -> DataFrame:
+    """request, prompt, analysis, recommendations: an analysis of an aspect of the code.
+
+    requests: request, aspect (architecture, patterns, conventions, dependencies), depth, focus, query.  Equal prompts are asked once,
+    known ones not at all; where the provider fails, the analysis says so and recommends nothing.
+    """
+    asked = requests.withColumn("kind", F.when(F.col("aspect").isin("architecture", "patterns"), "architecture").otherwise("explanation"))
+    rows = _context(asked, items, key, vector, budget).select("request", "aspect", responses.aspect_prompt(F.col("aspect"), F.col("depth"), F.col("focus"), F.col("context")).alias("prompt"))
+    failed = F.concat(F.lit("Failed to analyze "), "aspect")
+    listed = F.coalesce(responses.recommended(F.col("answer")), F.array().cast("array<string>"))
+    return _answered(rows, provider, cache).select("request", "prompt", F.coalesce("answer", failed).alias("analysis"), listed.alias("recommendations"))
+
+
+def standards(requests: DataFrame, items: DataFrame, patterns: DataFrame, provider: Callable[[list[str]], list[str]], cache: ContentCache, key: str = "id", vector: str = "vector", budget: float = 5000) -> DataFrame:
+    """request, prompt, standards: the standards that the code follows, from context and the five best patterns of confidence .8 or more.
+
+    requests: request, category (null: all), query; patterns: name, frequency, confidence, description.  Known prompts are not asked again.
+    """
+    best = patterns.where("confidence >= 0.8").orderBy(F.desc("frequency"), F.desc("confidence"), "name").limit(5)
+    told = best.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("frequency")).alias("f"), "name", "description"))), lambda x: F.concat_ws(": ", x["name"], x["description"])), "\n").alias("known"))  # five rows
+    asked = requests.withColumn("kind", F.lit("explanation")).crossJoin(F.broadcast(told))  # one row
+    rows = _context(asked, items, key, vector, budget).select("request", responses.standards_prompt(F.col("category"), F.nullif(F.col("known"), F.lit("")), F.col("context")).alias("prompt"))
+    return _answered(rows, provider, cache).select("request", "prompt", F.coalesce("answer", F.lit("Failed to generate living standards documentation")).alias("standards"))
+
+
 def relations(edges: DataFrame, component: str, kinds: list[str] | None = None, depth: int = 1) -> DataFrame:
     """Edges of the given types within `depth` steps of a component, in either direction, with their distance."""
     own = edges if kinds is None else edges.where(F.col("type").isin(*kinds))

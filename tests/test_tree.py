@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratalens.functions import text
-from stratalens.operators import cache, clustering, dataflow, diff, retrieval
+from stratalens.operators import cache, clustering, dataflow, diff, mining, retrieval
 from stratalens.plans import stages
 from stratalens.plans.stages import Graph, Stage, Tables
 from stratalens.sources import nodes, tree, walk
@@ -345,3 +345,36 @@ def test_kmeans_gives_every_vector_a_near_centre(spark):
     got = dict(rows(clustering.kmeans(spark.createDataFrame(points, "k long, v array<double>"), "k", "v", 3, seed=1), "k", "cluster"))
     assert set(got) == set(range(30)) and len(set(got.values())) == 3
     assert all((got[a] == got[b]) == (a % 3 == b % 3) for a in got for b in got)
+
+
+def test_aspects_and_standards(spark, tmp_path):
+    items = spark.createDataFrame([(i, [1.0, i / 10], f"src/f{i}.py", i, f"line {i}") for i in range(4)], "id long, vector array<double>, file_path string, start_line int, content string")
+    calls = spark.sparkContext.accumulator(0)
+
+    def provider(prompts):
+        calls.add(len(prompts))
+        if any("dependencies" in p for p in prompts):
+            raise RuntimeError("down")
+        return [f"## Recommendations\n- {'focus' if 'Focus: x' in p else 'all'}\n" for p in prompts]
+
+    store = cache.ContentCache(spark, str(tmp_path / "answers"), "string")
+    asked = spark.createDataFrame([(1, "architecture", 1, "x", [1.0, 0.1]), (2, "patterns", None, None, [1.0, 0.1]), (3, "dependencies", 3, "", [1.0, 0.1])], "request long, aspect string, depth int, focus string, query array<double>")
+    for _ in range(2):
+        got = {r.request: r for r in retrieval.aspects(asked, items, provider, store).collect()}
+        assert list(got[1].recommendations) == ["focus"] and list(got[2].recommendations) == ["all"] and "in outline" in got[1].prompt and "line 1" in got[1].prompt
+        assert got[3].analysis == "Failed to analyze dependencies" and got[3].recommendations == []
+    before = calls.value
+    wanted = spark.createDataFrame([(1, "testing", [1.0, 0.1]), (2, None, [1.0, 0.1])], "request long, category string, query array<double>")
+    known = spark.createDataFrame([("Service", 9, 0.9, "ends so"), ("weak", 99, 0.5, "x")], "name string, frequency long, confidence double, description string")
+    for _ in range(2):
+        got = {r.request: r for r in retrieval.standards(wanted, items, known, provider, store).collect()}
+        assert "Standards: testing" in got[1].prompt and "Service: ends so" in got[1].prompt and "weak" not in got[1].prompt and "Standards: all" in got[2].prompt
+    assert calls.value == before + 2
+
+
+def test_mined_statements(spark):
+    files = spark.createDataFrame([("a", "import x from './m1'\nexport default 3\nuse lib.z\nimportant\n"), ("b", None), ("c", "  import x from './m22'\n")], "path string, content string")
+    table = mining.mined_statements(mining.lines(files, "content", ["path"]))
+    imports, exports = mining.statements(files, table)
+    assert rows(imports, "path", "line", "module") == [("a", 1, "./m1"), ("a", 3, "lib.z"), ("c", 1, "./m22")]
+    assert rows(exports, "path", "line") == [("a", 2)] and rows(mining.connections(imports), "path", "module") == [("a", "./m1"), ("a", "lib.z"), ("c", "./m22")]
