@@ -69,6 +69,14 @@ def direct(edges: DataFrame, nodes: DataFrame, min_confidence: float = 0.6) -> D
     return _flows(own, flow_type(F.col("type")), "direct", F.round(confidence, 6), F.col("context")).where(F.col("confidence") >= min_confidence)
 
 
+def accesses(nodes: DataFrame) -> DataFrame:
+    """accessor, target, context: methods that name a property of their own parent after `this.` or `self.`, with the line."""
+    lines = nodes.where("type = 'method'").select(F.col("id").alias("accessor"), "parent_id", F.explode(F.split("content", "\n")).alias("context"))
+    named = lines.select("accessor", "parent_id", F.trim("context").alias("context"), F.explode(F.array_distinct(F.regexp_extract_all("context", F.lit(r"\b(?:this|self)\.(\w+)"), F.lit(1)))).alias("name"))
+    own = nodes.where("type = 'property'").select("parent_id", "name", F.col("id").alias("target"))
+    return named.join(own, ["parent_id", "name"]).select("accessor", "target", "context").distinct()
+
+
 def shared_state(accesses: DataFrame) -> DataFrame:
     """Writers to readers of one target; accesses: accessor, target, context.
 

@@ -84,12 +84,12 @@ def _call_edges(calls: DataFrame) -> DataFrame:
 
 
 def _flows(t: Given) -> DataFrame:
-    """Direct, call, member, event and name flows; those of names within one directory."""
+    """Direct, call, member, shared-state, event and name flows; those of names within one directory."""
     own, calls = t["code_nodes"], t["calls"]
     symbols = own.where(SYMBOLS)
     told = own.where("type IN ('function', 'method')").select("id", F.explode(text.event_names(F.col("content"))).alias("event"), F.col("content").rlike(r"\b(?:emit|dispatch)\s*\(").alias("emits"))
     out = dataflow.direct(_call_edges(calls), t["df_nodes"])
-    for more in (dataflow.call_flows(calls, own), dataflow.member_flows(own), dataflow.event_flows(told.where("emits"), told.where("NOT emits")), dataflow.name_pattern_flows(symbols)):
+    for more in (dataflow.call_flows(calls, own), dataflow.member_flows(own), dataflow.shared_state(dataflow.accesses(own)), dataflow.event_flows(told.where("emits"), told.where("NOT emits")), dataflow.name_pattern_flows(symbols)):
         out = out.unionByName(more)
     return out
 
