@@ -78,6 +78,8 @@ MIXED = re.compile(rf"(?:(?<!\w)(?:{PLUS_WORDS})[ \t]{{0,3}}|\+[ \t]{{0,3}})?(?:
 #: What MIXED and SPELLED are made of; two such pieces, one of them a word, must stand side by side.
 PIECE = re.compile(r"[^\W\d_]+|[0-9]+")
 PIECE_WORDS = frozenset([*NUMBER_OF, *DOT_WORDS.split("|"), *PLUS_WORDS.split("|")])
+#: Characters that are looked through at once, and where they may end.
+STRETCH, BREAK = 1 << 16, re.compile(r"\W")
 #: Letters that ignoring case takes for others.
 FOLDED = re.compile("[\u0131\u0130\u017f\u212a]")
 SENTENCE_END = re.compile(r"(?<![ \t])\.[ \t]")
@@ -162,14 +164,23 @@ class Traced:
 
 
 def _has_words(text: str) -> bool:
-    """Whether a number word, or one for dot or plus, stands beside another such word or digits: else no run can be there."""
+    """Whether a number word, or one for dot or plus, stands beside another such word or digits: else no run can be there.
+
+    A stretch of the text at a time, so that a very long one makes no long list.
+    """
     if FOLDED.search(text):
         return True
-    pieces = PIECE.findall(text.lower())
-    for i in [i for i, p in enumerate(pieces) if p in PIECE_WORDS]:
-        for other in (pieces[i - 1] if i else "", pieces[i + 1] if i + 1 < len(pieces) else ""):
-            if other in PIECE_WORDS or other.isdigit():
+    at, last = 0, ""
+    while at < len(text):
+        end = at + STRETCH
+        if end < len(text):
+            cut = BREAK.search(text, end)
+            end = cut.start() if cut else len(text)
+        pieces = [last, *PIECE.findall(text[at:end].lower()), ""]
+        for i in [i for i, p in enumerate(pieces) if p in PIECE_WORDS]:
+            if any(p in PIECE_WORDS or p.isdigit() for p in (pieces[max(0, i - 1)] if i else "", pieces[i + 1])):
                 return True
+        at, last = end, pieces[-2]
     return False
 
 
