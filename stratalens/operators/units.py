@@ -86,12 +86,12 @@ def mean_word_overlap(members: DataFrame, group: str) -> DataFrame:
 
 
 def group_name(members: DataFrame, group: str) -> DataFrame:
-    """group, title: its most frequent word of three characters or more, if a third (two at least) of the names have it; else the common prefix; else the first name."""
+    """group, title: its most frequent word of three characters or more, if a third (two at least) of the names have it; else the common prefix; else the first name.  Common words of code name nothing."""
     sizes = members.groupBy(group).agg(F.count("*").alias("n"), F.min("name").alias("low"), F.max("name").alias("high"))
     words = members.select(group, F.explode(names.words(F.col("name"))).alias("word")).where((F.length("word") > 2) & ~text.is_common(F.lower("word")))
     best = words.groupBy(group, "word").agg(F.count("*").alias("c")).groupBy(group).agg(F.min(F.struct((-F.col("c")).alias("m"), "word")).alias("b"))
     prefix = names.common_prefix(F.array("low", "high"))
-    title = names.first_of([(-F.col("b.m") >= F.greatest(F.lit(2), F.col("n") / 3), F.col("b.word")), (F.length(prefix) >= 3, prefix)], F.col("low"))
+    title = names.first_of([(-F.col("b.m") >= F.greatest(F.lit(2), F.col("n") / 3), F.col("b.word")), ((F.length(prefix) >= 3) & ~text.is_common(F.lower(prefix)), prefix)], F.col("low"))
     return sizes.join(best, group, "left").select(group, names.capitalised(title).alias("title"))
 
 

@@ -8,6 +8,7 @@ from ..functions import hashes, paths
 from ..operators import dataflow, mining, retrieval, units
 from ..sources import tree
 from .catalogue import CASING, VARIANTS, WORDS, variants
+from .catalogue_tree import COMMON as USUAL_WORDS
 from .registry import query
 
 # lines and patterns
@@ -155,9 +156,12 @@ def mean_word_overlap(t):
     return units.mean_word_overlap(members(t), "brand")
 
 
+USUAL = ", ".join(f"'{w}'" for w in USUAL_WORDS.split())
+
+
 @query(f"""WITH v AS ({VARIANTS}), z AS (SELECT brand, count(*) AS size, min(n) AS low, max(n) AS high FROM v GROUP BY brand), w AS (SELECT brand, unnest({WORDS}) AS word FROM v),
-    c AS (SELECT brand, word, count(*) AS c, row_number() OVER (PARTITION BY brand ORDER BY count(*) DESC, word) AS place FROM w WHERE length(word) > 2 AND word NOT IN ('set', 'get', 'new', 'use', 'one', 'two', 'all', 'any', 'the', 'and', 'for', 'with', 'has') GROUP BY brand, word),
-    t AS (SELECT z.brand, CASE WHEN c >= greatest(2, size / 3) THEN word WHEN {COMMON.format(a="low", b="high")} >= 3 THEN left(low, {COMMON.format(a="low", b="high")}) ELSE low END AS title FROM z LEFT JOIN c ON z.brand = c.brand AND place = 1)
+    c AS (SELECT brand, word, count(*) AS c, row_number() OVER (PARTITION BY brand ORDER BY count(*) DESC, word) AS place FROM w WHERE length(word) > 2 AND lower(word) NOT IN ({USUAL}) GROUP BY brand, word),
+    t AS (SELECT z.brand, CASE WHEN c >= greatest(2, size / 3) THEN word WHEN {COMMON.format(a="low", b="high")} >= 3 AND lower(left(low, {COMMON.format(a="low", b="high")})) NOT IN ({USUAL}) THEN left(low, {COMMON.format(a="low", b="high")}) ELSE low END AS title FROM z LEFT JOIN c ON z.brand = c.brand AND place = 1)
     SELECT brand, upper(left(title, 1)) || substr(title, 2) AS title FROM t""")
 def group_names(t):
     return units.group_name(members(t), "brand")
