@@ -73,9 +73,9 @@ def _units(t: Given) -> DataFrame:
 
 
 def _clusters(t: Given, least: float = 0.6) -> DataFrame:
-    """cluster, node: symbols of one type and directory that similar names connect; a lone one is in none."""
-    own = t["code_nodes"].where(SYMBOLS).select("id", "name", F.concat_ws("/", "type", paths.dirname(F.col("path"))).alias("block"))
-    found = clustering.components(clustering.naming_pairs(own, "block", "id", "name", least))
+    """cluster, node: symbols of one type and directory that similar names, structures and edges connect; a lone one is in none."""
+    own = clustering.elements(t["code_nodes"], t["relationships"]).where(SYMBOLS).withColumn("block", F.concat_ws("/", "type", paths.dirname(F.col("path"))))
+    found = clustering.components(clustering.combined_pairs(own, "block", "id", least, clustering.ELEMENT_METRICS))
     return found.select(F.col("root").alias("cluster"), "node")
 
 
@@ -111,7 +111,7 @@ STAGES = [
     Stage("concept_members", {"code_nodes": ("id", "type", "name", "path"), "concepts": ("name",)}, _members),
     Stage("concept_links", {"concept_members": ("node_id", "concept"), "relationships": ("type", "source_id", "target_id")}, _concept_links),
     Stage("semantic_units", {"code_nodes": ("id", "type", "name", "path"), "concept_members": ("node_id", "concept", "directory"), "concepts": ("name", "confidence"), "relationships": ("type", "source_id", "target_id"), "patterns": ("name", "confidence", "frequency")}, _units),
-    Stage("clusters", {"code_nodes": ("id", "type", "name", "path")}, _clusters),
+    Stage("clusters", {"code_nodes": ("id", "type", "name", "path", "language", "parent_id", "start_line", "end_line"), "relationships": ("type", "source_id", "target_id")}, _clusters),
     Stage("df_nodes", {"code_nodes": ("id", "type", "name", "content"), "calls": ("caller", "callee", "context")}, lambda t: dataflow.with_endpoints(dataflow.nodes(t["code_nodes"]), t["code_nodes"], _call_edges(t["calls"]))),
     Stage("df_flows", {"code_nodes": ("id", "type", "name", "path", "parent_id", "position", "start_line", "content"), "calls": ("caller", "path", "callee", "nth", "arguments", "result", "context"), "df_nodes": ("node_id",)}, _flows),
     Stage("df_paths", {"df_flows": ("source_id", "target_id", "origin"), "df_nodes": ("node_id", "role")}, lambda t: dataflow.paths(t["df_flows"].where("origin = 'direct'"), t["df_nodes"])),

@@ -259,7 +259,7 @@ def affix_dominant_type(t):
 
 
 @query(f"""WITH v AS (SELECT k, n, brand, CASE WHEN length(n) >= 6 AND left(n, 3) IN ('get', 'set', 'has', 'use') THEN left(n, 3) END AS p, CASE WHEN suffix(n, 'Service') THEN 'Service' END AS s, {CASING} AS c, list_distinct({WORDS}) AS w FROM ({VARIANTS})),
-    m AS (SELECT x.k AS a, y.k AS b, round(0.3 * coalesce((x.p = y.p)::INT, 0) + 0.3 * coalesce((x.s = y.s)::INT, 0) + 0.1 * (x.c = y.c)::INT + 0.3 * coalesce(len(list_intersect(x.w, y.w)) / greatest(len(x.w), len(y.w)), 0), 6) AS sim FROM v x JOIN v y ON x.brand = y.brand AND x.k < y.k)
+    m AS (SELECT x.k AS a, y.k AS b, round(0.3 * coalesce((x.p = y.p)::INT, 0) + 0.3 * coalesce((x.s = y.s)::INT, 0) + 0.1 * (x.c = y.c)::INT + 0.3 * coalesce(len(list_intersect(x.w, y.w)) / len(list_distinct(list_concat(x.w, y.w))), 0), 6) AS sim FROM v x JOIN v y ON x.brand = y.brand AND x.k < y.k)
     SELECT a, b, sim FROM m WHERE sim >= 0.6""")
 def naming_similarity_pairs(t):
     return clustering.blocked_pairs(variants(t), ["brand"], "k", "n", clustering.naming_similarity, 0.6)

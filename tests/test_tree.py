@@ -378,3 +378,40 @@ def test_mined_statements(spark):
     imports, exports = mining.statements(files, table)
     assert rows(imports, "path", "line", "module") == [("a", 1, "./m1"), ("a", 3, "lib.z"), ("c", 1, "./m22")]
     assert rows(exports, "path", "line") == [("a", 2)] and rows(mining.connections(imports), "path", "module") == [("a", "./m1"), ("a", "lib.z"), ("c", "./m22")]
+
+
+def test_combined_pairs(spark, monkeypatch):
+    """Parts, the bound and twins against all pairs; nulls drop out of the mean."""
+    schema = "type string, id string, name string, structure struct<metadata:map<string,string>,children:map<string,bigint>,size:bigint>, edge_types array<string>, in_ratio double"
+    made = []
+    for i in range(60):
+        name = (None, "", "getUser", "getUserName", "user_name", "UserService", "parse")[i % 7]
+        structure = None if i % 13 == 0 else ({"language": ("Go", "C")[i % 2]}, None if i % 11 == 0 else {"method": i % 3}, i % 4 + 1)
+        made.append(("function" if i % 5 else "class", f"n{i:02}", name, structure, None if i % 3 == 0 else ["calls", "contains"][: i % 3], (i % 4) / 4))
+    made += [("class", None, "getUser", None, None, None), (None, "x", "getUser", None, None, None)]
+    items = spark.createDataFrame(made, schema)
+    a, b = (items.select("type", F.struct("id", F.when(F.col("name") != "", clustering.name_signs(F.col("name"))).alias("signs"), F.when(F.col("structure").isNotNull(), F.struct(F.col("structure.metadata").alias("metadata"), F.coalesce("structure.children", F.create_map().cast("map<string,bigint>")).alias("children"), F.col("structure.size").alias("size"))).alias("structure"), "edge_types", "in_ratio").alias(s)) for s in "xy")
+    score = clustering.combined([(clustering._metric(m, F.col("x"), F.col("y")), 1.0) for m in clustering.ELEMENT_METRICS])
+    every = {(r.a, r.b): r.sim for r in a.join(b, "type").where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.round(score, 6).alias("sim")).collect()}
+    want = {k: v for k, v in every.items() if v >= 0.6}
+    assert 100 < len(want) < len(every)
+    monkeypatch.setattr(clustering, "ELEMENT_ROWS", 7)
+    got = clustering.combined_pairs(items, "type", "id", metrics=clustering.ELEMENT_METRICS, twins="all").collect()
+    assert len(got) == len(want) and {(r.a, r.b): r.sim for r in got} == want
+    less = clustering.combined_pairs(items, "type", "id", metrics=clustering.ELEMENT_METRICS).collect()
+    assert len({(r.a, r.b) for r in less}) == len(less) <= len(got) and all(want[r.a, r.b] == r.sim for r in less)
+    # twins: copies of one element make as many links as there are copies, and the same components
+    copies = spark.createDataFrame([("function", f"c{i}", "getUser", ({"language": "Go"}, {}, 3), ["calls"], 0.5) for i in range(50)], schema)
+    assert clustering.combined_pairs(copies, "type", "id", metrics=clustering.ELEMENT_METRICS).count() == 49
+    # equal elements that are not similar enough to each other keep their own links
+    low = spark.createDataFrame([("function", f"c{i}", "parse" if i else None, ({}, {}, 3), None, None) for i in range(6)], schema)
+    assert clustering.combined_pairs(low, "type", "id", metrics=clustering.ELEMENT_METRICS).count() == 5
+    same = lambda pairs: sorted((r.root, r.node) for r in clustering.components(spark.createDataFrame(pairs)).collect())
+    assert same(less) == same(got)
+    assert clustering.combined_pairs(items.where("false"), "type", "id", metrics=clustering.ELEMENT_METRICS).count() == 0
+
+
+def test_relationship_profiles(spark):
+    edges = spark.createDataFrame([("calls", "a", "b"), ("calls", "a", "a"), ("contains", "b", "a"), ("calls", None, "b")], "type string, source_id string, target_id string")
+    got = {r.node: (r.edge_types, r.in_ratio) for r in clustering.relationship_profiles(edges).collect()}
+    assert got == {"a": (["calls", "contains"], 2 / 3), "b": (["calls", "contains"], 2 / 3)}
