@@ -20,7 +20,7 @@ def plan(df):
     return df._jdf.queryExecution().toString()
 
 
-@pytest.mark.parametrize("name", ["call_alignment", "nested_nodes", "shared_properties"])
+@pytest.mark.parametrize("name", ["call_alignment", "member_flows", "nested_nodes", "shared_properties"])
 def test_code_nodes_are_found_once(spark, name):
     assert "MapInArrow" not in plan(catalogue.QUERIES[name](spark, SF))  # a written table
 
