@@ -32,3 +32,21 @@ def test_small_files_share_batches_of_nodes(spark):
     sizes = [r.n for r in found.mapInArrow(count, "n long").collect()]
     assert sum(sizes) == 6000 and len(sizes) < 10
     assert work.spread(files, "path").rdd.getNumPartitions() >= 4
+
+
+NAMES = ("getName", "nameGet", "getOrderService", "orderService", "hot bolt", "HotBoltService", "getHotBolt", "hot_bolt", "bolt_hot", "", "getaway", "x.y")
+
+
+def test_all_pairs_of_items_with_similar_names(spark):
+    df = spark.createDataFrame([(k, "ab"[k % 2], None if k == 77 else NAMES[k * 7 % 12]) for k in range(100)], "k int, block string, name string")
+    want = rows(clustering.blocked_pairs(df, ["block"], "k", "name", clustering.naming_similarity, 0.6), "a", "b", "sim")
+    assert rows(clustering.naming_pairs(df, "block", "k", "name", 0.6, twins="all"), "a", "b", "sim") == want
+    assert len(want) > 100
+
+
+@pytest.mark.parametrize("least", [0.4, 0.55])
+def test_clusters_of_distinct_names_are_those_of_all_items(spark, least):
+    df = spark.createDataFrame([(k, "ab"[k % 2], None if k == 77 else NAMES[k * 7 % 12]) for k in range(80)], "k int, block string, name string")
+    pairs = clustering.blocked_pairs(df, ["block"], "k", "name", clustering.naming_similarity, 0.1, keep_block=True)
+    want = rows(clustering.hierarchical(pairs, df.select("block", F.col("k").alias("node")), "block", least), "block", "cluster", "node")
+    assert rows(clustering.name_clusters(df, "block", "k", "name", 0.1, least), "block", "cluster", "node") == want
