@@ -138,15 +138,50 @@ def key_phrases(text: Column) -> Column:
     return F.concat(words, domain, ngrams(words, 2), ngrams(words, 3), capitalised)
 
 
+#: Patterns up to which every text is searched for each; of more, a pattern is tried where the rarest of its whole words stands.
+WHOLE = 512
+
+
+def whole_words(regex: str) -> list[str]:
+    """Words (ASCII letters, digits, underscores) that stand as such in every match: plain, with plain other signs or blanks on both sides; none if that is not sure."""
+    import re
+
+    if "|" in regex or "(?" in regex or re.search(r"\)[*?{+]", regex):
+        return []
+    words, run, left = [], "", False  # left: a sign that is no part of a word stands before the run
+    for m in re.finditer(r"(\\.|\[\^?\]?(?:\\.|[^\]\\])*\]|[()]|.)([*+?{]?)", regex, re.S):
+        sign, times = m.groups()
+        if sign in "()" and not times:
+            continue
+        plain = sign[-1] if len(sign) == 2 and sign[0] == "\\" else sign
+        if len(sign) == 1 and re.fullmatch(r"[A-Za-z0-9_]", sign) and not times:
+            run += sign
+            continue
+        if len(sign) == 1:
+            other = sign not in ".^$*+?{}[]" and sign.isascii() and not sign.isalnum()
+        elif sign[0] == "[":
+            other = re.fullmatch(r"\[['\" ;,=]+\]", sign) is not None
+        else:
+            other = plain == "s" or plain.isascii() and not plain.isalnum() and plain != "_"
+        other = other and times in ("", "+")
+        if run and left and other:
+            words.append(run)
+        run, left = "", other
+    return words
+
+
 def all_matches(df: DataFrame, key: str, content: str, patterns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(every match of every pattern, patterns that are no regular expressions).
 
     patterns: pattern (its id), regex, confidence (null: .8); a table, so that patterns may be mined or come from a registry.  Matches: key,
     pattern, nth (from 0), match, offset (from 1), line, groups (by number; "" where a group takes no part), confidence.  A
-    bad pattern is left out and told with its message.  The valid ones are compiled once per task.
+    bad pattern is left out and told with its message.  The valid ones are compiled once per task.  Beyond WHOLE patterns those
+    with whole words meet texts by a join on such a word; those without are tried on every text.
     """
     import pandas as pd
 
+    from ..sources import work
+
     def checked(batches):
         import re
 
@@ -158,12 +193,22 @@ def all_matches(df: DataFrame, key: str, content: str, patterns: DataFrame) -> t
                     errors.append(None)
                 except (re.error, TypeError) as e:
                     errors.append(str(e))
-            yield batch.assign(error=pd.Series(errors, dtype=object))
+            words = [[] if e else whole_words(r) for r, e in zip(batch["regex"], errors, strict=True)]
+            yield batch.assign(error=pd.Series(errors, dtype=object), words=pd.Series(words, dtype=object))
 
-    told = patterns.select("pattern", "regex", F.coalesce(F.col("confidence"), F.lit(0.8)).cast("double").alias("confidence")).mapInPandas(checked, "pattern string, regex string, confidence double, error string")
+    told = patterns.select("pattern", "regex", F.coalesce(F.col("confidence"), F.lit(0.8)).cast("double").alias("confidence")).mapInPandas(checked, "pattern string, regex string, confidence double, error string, words array<string>")
+    told = work.stored(told, "patterns")
     good = told.where("error IS NULL").drop("error")
-    whole = good.agg(F.collect_list(F.struct("pattern", "regex", "confidence")).alias("patterns"))  # one row, as long as the registry
-    long = df.select(F.col(key).alias("key"), F.col(content).alias("content")).where("content IS NOT NULL").crossJoin(F.broadcast(whole))
+    texts = df.select(F.col(key).alias("key"), F.col(content).alias("content")).where("content IS NOT NULL")
+    listed = F.collect_list(F.struct("pattern", "regex", "confidence")).alias("patterns")
+    few = good if good.count() <= WHOLE else good.where("size(words) = 0")
+    long = texts.crossJoin(F.broadcast(few.agg(listed)))  # one row, as long as what is tried on every text
+    if few is not good:
+        each = good.select("pattern", "regex", "confidence", F.explode("words").alias("word"))
+        rarest = each.join(each.groupBy("word").agg(F.count("*").alias("n")), "word").groupBy("pattern", "regex", "confidence").agg(F.min_by("word", F.struct("n", "word")).alias("word"))
+        held = texts.select("key", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit("[A-Za-z0-9_]+"), F.lit(0)))).alias("word")).distinct()
+        tried = held.join(rarest, "word").groupBy("key").agg(listed)  # texts of one key share what is tried
+        long = long.where("size(patterns) > 0").unionByName(texts.join(tried, "key"))
 
     def found(batches):
         import re

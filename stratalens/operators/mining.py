@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text
 from ..functions.names import first_of
+from ..sources import work
 
 # Evidence of paradigms, and of languages where the extension tells none, in order.
 PARADIGMS = {"object-oriented": r"(?i)\b(class|interface|extends|implements|prototype)\b", "functional": r"(?i)\b(function|lambda|=>|->|map|filter|reduce)\b"}
@@ -151,8 +152,9 @@ def statements(files: DataFrame, patterns: DataFrame) -> tuple[DataFrame, DataFr
 
     A statement that several patterns match is one row with the best confidence; an import that names no module is none.
     """
+    patterns = work.stored(patterns, "patterns")
     found, _ = text.all_matches(files, "path", "content", patterns)
-    typed = found.join(F.broadcast(patterns.select("pattern", "type")), "pattern")  # as long as the registry
+    typed = found.join(patterns.select("pattern", "type"), "pattern")
     imports = typed.where("type = 'import'").withColumn("module", specifier(F.col("match"))).where("module IS NOT NULL")
     rows = imports.groupBy(F.col("key").alias("path"), "line", "module").agg(F.max("confidence").alias("confidence"))
     return rows, typed.where("type = 'export'").groupBy(F.col("key").alias("path"), "line").agg(F.max("confidence").alias("confidence"))

@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from stratalens.operators import clustering, dataflow, mining
+from stratalens.functions import text
+from stratalens.operators import clustering
 from stratalens.plans import catalogue
 from stratalens.sources import nodes, work
 
@@ -50,3 +51,17 @@ def test_clusters_of_distinct_names_are_those_of_all_items(spark, least):
     pairs = clustering.blocked_pairs(df, ["block"], "k", "name", clustering.naming_similarity, 0.1, keep_block=True)
     want = rows(clustering.hierarchical(pairs, df.select("block", F.col("k").alias("node")), "block", least), "block", "cluster", "node")
     assert rows(clustering.name_clusters(df, "block", "k", "name", 0.1, least), "block", "cluster", "node") == want
+
+
+def test_many_patterns_meet_texts_by_a_whole_word(spark, monkeypatch):
+    regexes = [rf"export\s+const\s+v{i}\s+=\s+\d+" for i in range(8)] + [r"import\s+tools\.v3", "v1", "(", r"a(b c)? d ", r"x{1,2} y1 z", r"[\] q ] y1", r"c|d e f", r"const \_v1 z", None]
+    table = spark.createDataFrame([(f"p{i}", r, None) for i, r in enumerate(regexes)], "pattern string, regex string, confidence double")
+    texts = [f"export const v{i % 9}  = 12\nimport tools.v3{i}\n ab c d a d q y1 xx y1 z const _v1 z" for i in range(20)] + [None, ""]
+    df = spark.createDataFrame([(i // 2, x) for i, x in enumerate(texts)], "k int, content string")  # two texts a key
+    columns = ["key", "pattern", "nth", "match", "offset", "line", "groups", "confidence"]
+    want, bad = (rows(x, *c) for x, c in zip(text.all_matches(df, "k", "content", table), (columns, ["pattern"]), strict=True))
+    monkeypatch.setattr(text, "WHOLE", 0)
+    found, told = text.all_matches(df, "k", "content", table)
+    assert rows(found, *columns) == want and len(want) > 100
+    assert rows(told, "pattern") == bad == [("p10",), ("p16",)]
+    assert text.whole_words(regexes[5]) == ["const", "v5"] and text.whole_words(regexes[14]) == []
