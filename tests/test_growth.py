@@ -65,3 +65,7 @@ def test_many_patterns_meet_texts_by_a_whole_word(spark, monkeypatch):
     assert rows(found, *columns) == want and len(want) > 100
     assert rows(told, "pattern") == bad == [("p10",), ("p16",)]
     assert text.whole_words(regexes[5]) == ["const", "v5"] and text.whole_words(regexes[14]) == []
+
+
+def test_phrases_of_a_small_table_are_found_by_many_tasks(spark):
+    assert "RepartitionByExpression" in plan(catalogue.QUERIES["comment_phrases"](spark, SF))
