@@ -4,19 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import vectors
 from ..sources import work
 from . import diff, responses, search
 from .cache import ContentCache
 
-#: Requests that are scored against all items at once; more go in further passes.
-REQUESTS = 512
-#: The largest limit of any type; as a literal it lets each task keep that many items a request before the shuffle.
+#: Items of a part and requests of a block, which meet in one task, and requests of one product of matrices.
+ITEMS, BLOCK, REQUESTS = 16384, 4096, 512
+#: The largest limit of any type.
 MOST_FOUND = max(limit for limit, *_ in search.CONTEXT.values())
+#: What a product of matrices may differ from the exact cosine, with room for what rounding to six places makes equal.
+NEAR = 2e-6
 #: What a request gets for which nothing is found.
 NOTHING = "(no relevant context)"
 
@@ -91,24 +95,69 @@ def parameters(kind: Column) -> tuple[Column, Column]:
 def retrieve(items: DataFrame, requests: DataFrame, key: str, vector: str, least: Column | None = None) -> DataFrame:
     """request, rank, key, score: the nearest items of each request within its type's limit and least score.
 
-    requests: request, kind, query.  All items are scored against every request, REQUESTS of them in a pass, so that what is
-    broadcast is bounded; an item below the score leaves its task no row.  least: in place of the type's score.
+    requests: request, kind, query.  Items and requests are dealt by their counted rows, and each part meets each block as matrices, so
+    no task grows with either.  Of a part only what may be among a request's nearest, give or take NEAR, is scored
+    exactly, term by term as `vectors.cosine`.  least: in place of the type's score.
     """
     limit, score = parameters(F.col("kind"))
-    asked = requests.select("request", "query", limit.alias("__limit"), (score if least is None else least).alias("__least"))
-    passes = -(-asked.count() // REQUESTS)
-    out = None
-    for i in range(max(1, passes)):
-        part = asked.where(F.pmod(F.xxhash64("request"), F.lit(max(1, passes))) == i) if passes > 1 else asked
-        score = F.round(vectors.cosine(F.col(vector), F.col("query")), 6)
-        # exploded, so that the threshold does not compute the cosine once more
-        scored = items.select(key, vector).join(F.broadcast(part)).select(key, "request", "__limit", "__least", F.explode(F.array(score)).alias("score")).where("score >= __least")
-        place = F.row_number().over(Window.partitionBy("request").orderBy(F.desc("score"), key))
-        found = scored.withColumn("rank", place).where(F.col("rank") <= MOST_FOUND).where("rank <= __limit").select("request", "rank", key, "score")
-        out = found if out is None else out.unionByName(found)
+    whole = lambda v: F.col(v).isNotNull() & ~F.exists(v, lambda x: x.isNull())
+    given = F.col("query").cast("array<double>").alias("query")
+    asked = work.stored(requests.where(whole("query")).select("request", given, limit.cast("int").alias("limit"), (score if least is None else least).cast("double").alias("least")), "requests")
+    own = items.where(whole(vector)).select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("vector"))
+    parts, blocks = (max(1, -(-df.count() // size)) for df, size in ((own, ITEMS), (asked, BLOCK)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = own.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int")).withColumn("block", every(blocks))
+    right = asked.withColumn("block", F.pmod(F.xxhash64("request"), F.lit(blocks)).cast("int")).withColumn("part", every(parts))
+    kinds = f"key {items.schema[key].dataType.simpleString()}, request {requests.schema['request'].dataType.simpleString()}, limit int, least double, score double"
+    found = left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInArrow(_near, kinds).withColumn("score", F.round("score", 6)).where("score >= least")
+    place = F.row_number().over(Window.partitionBy("request").orderBy(F.desc("score"), "key"))
+    return found.withColumn("rank", place).where(F.col("rank") <= MOST_FOUND).where("rank <= limit").select("request", "rank", F.col("key").alias(key), "score")
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    lists = pa.concat_arrays(column.chunks)
+    sizes = np.unique(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    if len(sizes) != 1:
+        raise ValueError("vectors differ in length")
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), int(sizes[0]))
+
+
+def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of rows, summed term by term from the first, as `vectors.dot`."""
+    out = np.zeros(len(a))
+    for x, y in zip(a.T, b.T, strict=True):
+        out += x * y
     return out
 
 
+def _near(items: pa.Table, asked: pa.Table) -> pa.Table:
+    """key, request, limit, least, cosine: of each request the items that may be among its nearest MOST_FOUND here."""
+    if not len(items) or not len(asked):
+        rows, at = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        exact = np.zeros(0)
+    else:
+        a, b, least = _matrix(items["vector"]), _matrix(asked["query"]), asked["least"].to_numpy()
+        if a.shape[1] != b.shape[1]:
+            raise ValueError("vectors differ in length")
+        with np.errstate(all="ignore"):
+            na, nb = np.sqrt(_dots(a, a)), np.sqrt(_dots(b, b))
+            found = []
+            for start in range(0, len(b), REQUESTS):
+                part = slice(start, start + REQUESTS)
+                norms = nb[part, None] * na
+                score = np.where(norms == 0, 0.0, b[part] @ a.T / norms)
+                score[np.isnan(score)] = np.inf  # greater than any number for Spark too
+                last = max(0, len(a) - MOST_FOUND)
+                floor = np.maximum(np.partition(score, last, axis=1)[:, last], least[part])
+                i, j = np.nonzero(score >= floor[:, None] - NEAR)
+                found.append((j, i + start))
+            rows, at = (np.concatenate(x) for x in zip(*found, strict=True))
+            norms = na[rows] * nb[at]
+            exact = np.where(norms == 0, 0.0, _dots(a[rows], b[at]) / norms)
+    told = asked.select(["request", "limit", "least"]).take(pa.array(at))
+    return pa.table({"key": items["key"].take(pa.array(rows)), "request": told["request"], "limit": told["limit"], "least": told["least"], "score": exact})
+
+
 def answers(requests: DataFrame, items: DataFrame, provider: Callable[[list[str]], list[str]], key: str = "id", vector: str = "vector", budget: float = 4000, cache: ContentCache | None = None) -> DataFrame:
     """request, prompt, answer, files: retrieval, packing, prompt and the injected provider (list of prompts -> list of answers).
 
