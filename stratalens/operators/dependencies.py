@@ -8,7 +8,10 @@ from pyspark.sql.window import Window
 
 from ..functions import paths, scores
 from ..functions.names import first_of
+from ..sources import work
 
+#: Tasks that count pairs, for each that holds uses.
+PAIRS = 2
 LAYERS = ("model", "view", "controller", "service", "repository", "data", "ui", "core")
 
 
@@ -95,14 +98,15 @@ def co_occurrence(uses: DataFrame, file: str, module: str, least: int = 3, commo
 
     A file's modules are distinct first.  `common` leaves out modules of more than that share of all files where the
     rule says so; otherwise a file with many modules makes pairs in the square of that number, which the data model
-    bounds (imports of one file, lines of one order).
+    bounds (imports of one file, lines of one order).  Tasks follow the counted uses, so what one of them counts does not grow.
     """
-    own = uses.select(F.col(file).alias("f"), F.col(module).alias("m")).distinct()
+    tasks = work.tasks(uses)
+    own = uses.select(F.col(file).alias("f"), F.col(module).alias("m")).repartition(tasks, "f").distinct()
     if common is not None:
         files = own.select("f").distinct().count()
         rare = own.groupBy("m").agg(F.count("*").alias("n")).where(F.col("n") <= common * files).select("m")
         own = own.join(rare, "m", "left_semi")
-    pairs = own.select("f", F.col("m").alias("a")).join(own.select("f", F.col("m").alias("b")), "f").where("a < b")
+    pairs = own.select("f", F.col("m").alias("a")).join(own.select("f", F.col("m").alias("b")), "f").where("a < b").repartition(PAIRS * tasks, "a", "b")
     return pairs.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
