@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratalens.functions import text
-from stratalens.operators import clustering, dataflow
+from stratalens.operators import clustering, dataflow, semantics
 from stratalens.plans import catalogue
 from stratalens.sources import nodes, work
 
@@ -83,3 +83,11 @@ def test_paths_end_when_no_node_goes_on(spark, monkeypatch):
     short = flows.where("source_id <> 'c' AND source_id <> 's'")
     assert rows(dataflow.paths(short, nodes_), "nodes") == [(["a", "b", "c"],), (["a", "b", "z"],), (["a", "b"],), (["a", "y"],)]
     assert names.count("paths") == 1  # the last round is read once
+
+
+def test_sets_are_found_once_and_sent_to_few_blocks(spark, monkeypatch):
+    monkeypatch.setattr(semantics, "TILE", 10)
+    members = spark.range(900).select((F.col("id") % 300).alias("g"), F.concat(F.lit("w"), F.col("id") % 7).alias("i"))
+    found = semantics.block_overlaps(members, "g", "i")
+    assert "Range" not in plan(found)  # a written table
+    assert "sequence(0, 11," in plan(found)  # not a block a tile
