@@ -140,6 +140,8 @@ def key_phrases(text: Column) -> Column:
 
 #: Patterns up to which every text is searched for each; of more, a pattern is tried where the rarest of its whole words stands.
 WHOLE = 512
+#: Texts that hold a word, beyond which several tasks share them when patterns are looked up by that word.
+HOT_TEXTS = 1 << 16
 
 
 def whole_words(regex: str) -> list[str]:
@@ -176,7 +178,8 @@ def all_matches(df: DataFrame, key: str, content: str, patterns: DataFrame) -> t
     patterns: pattern (its id), regex, confidence (null: .8); a table, so that patterns may be mined or come from a registry.  Matches: key,
     pattern, nth (from 0), match, offset (from 1), line, groups (by number; "" where a group takes no part), confidence.  A
     bad pattern is left out and told with its message.  The valid ones are compiled once per task.  Beyond WHOLE patterns those
-    with whole words meet texts by a join on such a word; those without are tried on every text.
+    with whole words meet texts by a join on such a word; those without are tried on every text, in lists of about WHOLE.  No
+    table that grows with texts or patterns is broadcast (the sizes that Spark assumes for made-up strings are far too small).
     """
     import pandas as pd
 
@@ -196,19 +199,31 @@ def all_matches(df: DataFrame, key: str, content: str, patterns: DataFrame) -> t
             words = [[] if e else whole_words(r) for r, e in zip(batch["regex"], errors, strict=True)]
             yield batch.assign(error=pd.Series(errors, dtype=object), words=pd.Series(words, dtype=object))
 
-    told = patterns.select("pattern", "regex", F.coalesce(F.col("confidence"), F.lit(0.8)).cast("double").alias("confidence")).mapInPandas(checked, "pattern string, regex string, confidence double, error string, words array<string>")
+    told = work.spread(patterns, "pattern").select("pattern", "regex", F.coalesce(F.col("confidence"), F.lit(0.8)).cast("double").alias("confidence")).mapInPandas(checked, "pattern string, regex string, confidence double, error string, words array<string>")
     told = work.stored(told, "patterns")
     good = told.where("error IS NULL").drop("error")
     texts = df.select(F.col(key).alias("key"), F.col(content).alias("content")).where("content IS NOT NULL")
     listed = F.collect_list(F.struct("pattern", "regex", "confidence")).alias("patterns")
-    few = good if good.count() <= WHOLE else good.where("size(words) = 0")
-    long = texts.crossJoin(F.broadcast(few.agg(listed)))  # one row, as long as what is tried on every text
-    if few is not good:
+    many, few = good.count() > WHOLE, good
+    if many:
+        few = good.where("size(words) = 0")
+        n = few.count()
+    if many and n > WHOLE:
+        lists = few.groupBy(F.pmod(F.xxhash64("pattern"), F.lit(-(-n // max(1, WHOLE)))).alias("list")).agg(listed).drop("list")
+        long = texts.join(lists.hint("shuffle_replicate_nl"))
+    else:
+        long = texts.crossJoin(F.broadcast(few.agg(listed)))  # one row, of WHOLE patterns at most
+    if many:
         each = good.select("pattern", "regex", "confidence", F.explode("words").alias("word"))
-        rarest = each.join(each.groupBy("word").agg(F.count("*").alias("n")), "word").groupBy("pattern", "regex", "confidence").agg(F.min_by("word", F.struct("n", "word")).alias("word"))
+        rarest = each.join(each.groupBy("word").agg(F.count("*").alias("n")).hint("merge"), "word").groupBy("pattern", "regex", "confidence").agg(F.min_by("word", F.struct("n", "word")).alias("word"))
         held = texts.select("key", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit("[A-Za-z0-9_]+"), F.lit(0)))).alias("word")).distinct()
-        tried = held.join(rarest, "word").groupBy("key").agg(listed)  # texts of one key share what is tried
-        long = long.where("size(patterns) > 0").unionByName(texts.join(tried, "key"))
+        held = work.stored(held, "words")
+        hot = work.stored(held.groupBy("word").agg(F.ceil(F.count("*") / HOT_TEXTS).cast("int").alias("salts")).where("salts > 1"), "words")  # one of HOT_TEXTS rows at most
+        salts = F.coalesce("salts", F.lit(1))
+        held = held.join(F.broadcast(hot), "word", "left").select("key", "word", F.pmod(F.xxhash64("key"), salts).cast("int").alias("salt"))
+        rarest = rarest.join(F.broadcast(hot), "word", "left").select("pattern", "regex", "confidence", "word", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+        tried = held.join(rarest.hint("merge"), ["word", "salt"]).groupBy("key").agg(listed)  # texts of one key share what is tried
+        long = long.where("size(patterns) > 0").unionByName(texts.join(tried.hint("merge"), "key"))
 
     def found(batches):
         import re

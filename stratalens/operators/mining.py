@@ -150,14 +150,14 @@ def mined_statements(found: DataFrame) -> DataFrame:
 def statements(files: DataFrame, patterns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(imports: path, line, module, confidence; exports: path, line, confidence) by mined patterns (pattern, regex, type, confidence).
 
-    A statement that several patterns match is one row with the best confidence; an import that names no module is none.
+    A statement that several patterns match is one row with the best confidence; an import that names no module is none.  Patterns
+    of each type are tried apart, so no match is joined with its pattern again (one pattern may match in every file).
     """
     patterns = work.stored(patterns, "patterns")
-    found, _ = text.all_matches(files, "path", "content", patterns)
-    typed = found.join(patterns.select("pattern", "type"), "pattern")
-    imports = typed.where("type = 'import'").withColumn("module", specifier(F.col("match"))).where("module IS NOT NULL")
+    imports, exports = (text.all_matches(files, "path", "content", patterns.where(F.col("type") == kind))[0] for kind in ("import", "export"))
+    imports = imports.withColumn("module", specifier(F.col("match"))).where("module IS NOT NULL")
     rows = imports.groupBy(F.col("key").alias("path"), "line", "module").agg(F.max("confidence").alias("confidence"))
-    return rows, typed.where("type = 'export'").groupBy(F.col("key").alias("path"), "line").agg(F.max("confidence").alias("confidence"))
+    return rows, exports.groupBy(F.col("key").alias("path"), "line").agg(F.max("confidence").alias("confidence"))
 
 
 def connections(imports: DataFrame) -> DataFrame:

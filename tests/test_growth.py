@@ -1,6 +1,7 @@
 """What must not come back when tables grow: work done anew for each reader, one task for a small file, pairs of copies."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -67,6 +68,23 @@ def test_many_patterns_meet_texts_by_a_whole_word(spark, monkeypatch):
     assert text.whole_words(regexes[5]) == ["const", "v5"] and text.whole_words(regexes[14]) == []
 
 
+def test_many_patterns_meet_texts_without_large_broadcasts(spark, monkeypatch):
+    regexes = [rf"export\s+const\s+v{i}\s+=\s+\d+" for i in range(8)] + [r"import\s+tools\.v3", *(f"v{i}" for i in range(9)), r"a b c"]
+    table = spark.createDataFrame([(f"p{i}", r, None) for i, r in enumerate(regexes)], "pattern string, regex string, confidence double")
+    df = spark.createDataFrame([(i // 2, f"export const v{i % 9}  = 12\nimport tools.v3{i}\n a b c") for i in range(40)], "k int, content string")
+    columns = ["key", "pattern", "nth", "match", "offset", "line", "groups", "confidence"]
+    want = rows(text.all_matches(df, "k", "content", table)[0], *columns)
+    for name, value in (("WHOLE", 4), ("HOT_TEXTS", 3)):
+        monkeypatch.setattr(text, name, value, raising=False)
+    found, _ = text.all_matches(df, "k", "content", table)
+    assert rows(found, *columns) == want and len(want) > 100
+    executed = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in executed and "BroadcastNestedLoopJoin" not in executed
+    assert not re.search(r"BroadcastHashJoin \[(key|pattern)", executed)
+    built = re.findall(r"BroadcastHashJoin \[word#\d+\], \[word#\d+\], (\w+)", executed)
+    assert built and set(built) == {"LeftOuter"}  # counted words that many texts hold, no texts or patterns
+
+
 def test_phrases_of_a_small_table_are_found_by_many_tasks(spark):
     assert "RepartitionByExpression" in plan(catalogue.QUERIES["comment_phrases"](spark, SF))
 
